@@ -1,0 +1,332 @@
+"""Metric queries as DataFrame plans: joins along entities, conditional aggregation, and metrics combined on their dimensions."""
+
+from __future__ import annotations
+
+import ast
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from assayer.semantic.manifest import Manifest, Metric, SemanticModel, references
+
+GRAINS = ("day", "week", "month", "quarter", "year")
+AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "average": F.avg, "avg": F.avg, "count": F.count, "count_distinct": F.count_distinct, "median": F.median}
+
+
+class ResolutionError(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class MetricQuery:
+    metrics: tuple[str, ...]
+    group_by: tuple[str, ...] = ()
+    where: tuple[str, ...] = ()
+    order_by: tuple[str, ...] = ()  # a leading "-": descending
+    limit: int | None = None
+
+    def __post_init__(self):
+        if not self.metrics:
+            raise ValueError("a metric query has a metric at least")
+        if self.limit is not None and self.limit < 0:
+            raise ValueError("limit is below 0")
+
+
+@dataclass(frozen=True)
+class Item:
+    """A group-by name resolved for one model: the joins to walk and the column at their end."""
+
+    name: str
+    path: tuple[tuple[str, str], ...]  # entity and model, hop by hop
+    column: str
+    grain: str | None = None
+
+
+@dataclass(frozen=True)
+class Canonical:
+    """What a query asks for, whatever the order it is written in; only the order of its result counts."""
+
+    metrics: frozenset
+    group_by: frozenset
+    where: frozenset
+    order_by: tuple
+    limit: int | None
+
+
+@dataclass
+class Compiler:
+    manifest: Manifest
+    hops: int = 2
+
+    # Names
+
+    def primary(self, model: SemanticModel) -> str | None:
+        return next((e.name for e in model.entities if e.kind == "primary"), None)
+
+    def paths(self, model: SemanticModel) -> list[tuple[tuple[tuple[str, str], ...], SemanticModel]]:
+        """Models that joins along entities lead to, nearest first. A join leads to a model that declares the entity primary or unique."""
+        out, frontier = [((), model)], [((), model)]
+        for _ in range(self.hops):
+            reached = []
+            for path, at in frontier:
+                for e in at.entities:
+                    for other in self.manifest.models.values():
+                        target = other.entity(e.name)
+                        if target and target.kind in ("primary", "unique") and other is not model and other.name not in [m for _, m in path]:
+                            reached.append(((*path, (e.name, other.name)), other))
+            out += reached
+            frontier = reached
+        return out
+
+    def resolve(self, model: SemanticModel, name: str, time: str | None) -> Item:
+        """`metric_time`, `entity`, `dimension` or `entity__dimension`, with `__grain` after a time dimension."""
+        parts = name.lower().split("__")
+        grain = parts.pop() if len(parts) > 1 and parts[-1] in GRAINS else None
+        if parts == ["metric_time"]:
+            if time is None:
+                raise ResolutionError(f"{model.name} has no time dimension")
+            return Item(name, (), time, grain or model.dimension(time).grain)
+        *entities, leaf = parts
+        for path, at in self.paths(model):
+            if (dim := at.dimension(leaf)) is None and (at.entity(leaf) is None or entities):
+                continue
+            walked = [e for e, _ in path]
+            here = [*walked, *([self.primary(at)] if not path and self.primary(at) else [])]
+            if entities and entities != walked and entities != here[-len(entities) :]:
+                continue
+            if path and not entities:
+                continue  # dimensions of other models are named by their entity
+            if dim is None:
+                return Item(name, path, at.entity(leaf).name)
+            if grain and dim.kind != "time":
+                raise ResolutionError(f"{name}: no time dimension")
+            return Item(name, path, dim.name, grain or (dim.grain if dim.kind == "time" else None))
+        raise ResolutionError(f"{name} can't be reached from {model.name}")
+
+    def group_by_items(self, metric: str) -> list[str]:
+        """Names that a metric can be grouped by; of several ways to one dimension, only the shortest that begin alike."""
+        names: set[str] | None = None
+        for leaf in self.leaves(metric):
+            model, measure = self.manifest.measure(leaf.measure)
+            found = {"metric_time"} if measure.time else set()
+            seen: list[tuple[tuple, str, str]] = []
+            for path, at in self.paths(model):
+                for d in at.dimensions:
+                    if any(o == at.name and n == d.name and p == path[: len(p)] for p, o, n in seen):
+                        continue
+                    seen.append((path, at.name, d.name))
+                    entity = path[-1][0] if path else self.primary(at)
+                    found.add(f"{entity}__{d.name}" if entity else d.name)
+                found |= {e.name for e in at.entities} if not path else set()
+            names = found if names is None else names & found
+        return sorted(names or ())
+
+    # Metrics
+
+    def metric(self, name: str) -> Metric:
+        try:
+            return self.manifest.metrics[name]
+        except KeyError:
+            raise ResolutionError(f"no metric {name}") from None
+
+    def leaves(self, name: str) -> list[Metric]:
+        m = self.metric(name)
+        if m.kind in ("simple", "cumulative"):
+            return [m]
+        inputs = [m.numerator, m.denominator] if m.kind == "ratio" else [x for x, _ in m.inputs]
+        # A filter of a composed metric holds for all its inputs.
+        return [Metric(**{**leaf.__dict__, "filters": leaf.filters + m.filters}) for x in inputs for leaf in self.leaves(x)]
+
+    def canonical(self, q: MetricQuery) -> Canonical:
+        """Resolved for each measure's model; ResolutionError where a name means nothing."""
+        for name in q.metrics:
+            for leaf in self.leaves(name):
+                model, measure = self.manifest.measure(leaf.measure)
+                for g in [*q.group_by, *[r for w in q.where + leaf.filters for _, r in references(w)]]:
+                    self.resolve(model, g, measure.time)
+        known = {x.lower() for x in (*q.metrics, *q.group_by)}
+        if lost := [o for o in q.order_by if o.removeprefix("-").lower() not in known]:
+            raise ResolutionError(f"ordered by what is not asked for: {', '.join(lost)}")
+        return Canonical(frozenset(q.metrics), frozenset(self._full(g, q) for g in q.group_by), frozenset(" ".join(w.split()) for w in q.where), tuple(self._ordered(o, q) for o in q.order_by), q.limit)
+
+    def _ordered(self, name: str, q: MetricQuery) -> str:
+        bare = name.removeprefix("-")
+        return ("-" if name.startswith("-") else "") + (bare if bare in q.metrics else self._full(bare, q))
+
+    def _full(self, name: str, q: MetricQuery) -> str:
+        model, measure = self.manifest.measure(self.leaves(q.metrics[0])[0].measure)
+        item = self.resolve(model, name, measure.time)
+        bare = name.lower().removesuffix(f"__{item.grain}") if item.grain else name.lower()
+        entity = self.primary(model)
+        if "__" not in bare and bare != "metric_time" and model.dimension(bare) and entity:
+            bare = f"{entity}__{bare}"
+        return f"{bare}__{item.grain}" if item.grain else bare
+
+    # Plans
+
+    def compile(self, spark: SparkSession, q: MetricQuery) -> DataFrame:
+        """One column for each group-by name and metric. Ties in the order are broken by the other columns."""
+        self.canonical(q)
+        dims = list(q.group_by)
+        leaves = {self._key(leaf): leaf for name in q.metrics for leaf in self.leaves(name)}
+        by_model: dict[tuple[str, str | None], dict] = {}
+        for key, leaf in leaves.items():
+            model, measure = self.manifest.measure(leaf.measure)
+            by_model.setdefault((model.name, measure.time), {})[key] = leaf
+        parts = [self._aggregate(spark, model, time, dims, q.where, group) for (model, time), group in by_model.items()]
+        table = parts[0]
+        for part in parts[1:]:
+            table = self._combine(table, part, dims)
+        values = {name: self._value(name) for name in q.metrics}
+        out = table.select(*[F.col(f"`{d}`") for d in dims], *[c.alias(n) for n, c in values.items()])
+        if q.order_by:
+            first = [F.desc(f"`{o[1:]}`") if o.startswith("-") else F.asc(f"`{o}`") for o in q.order_by]
+            named = {o.removeprefix("-") for o in q.order_by}
+            out = out.orderBy(*first, *[F.asc(f"`{c}`") for c in out.columns if c not in named])
+        elif q.limit is not None:
+            out = out.orderBy(*[F.asc(f"`{c}`") for c in out.columns])
+        return out if q.limit is None else out.limit(q.limit)
+
+    def _key(self, leaf: Metric) -> str:
+        return "__" + "|".join([leaf.kind, leaf.measure, *sorted(leaf.filters)])
+
+    def _value(self, name: str, extra: tuple[str, ...] = ()) -> Column:
+        m = self.metric(name)
+        if m.kind in ("simple", "cumulative"):
+            key = self._key(Metric(**{**m.__dict__, "filters": m.filters + extra}))
+            return F.col("`" + key + "`")
+        extra = m.filters + extra
+        if m.kind == "ratio":
+            return self._value(m.numerator, extra).cast("double") / F.nullif(self._value(m.denominator, extra).cast("double"), F.lit(0.0))
+        return _arithmetic(m.expr, {alias: self._value(x, extra) for x, alias in m.inputs})
+
+    def _aggregate(self, spark, model_name: str, time: str | None, dims: list[str], where, leaves: dict[str, Metric]) -> DataFrame:
+        """All metrics of one model in one aggregation; filters of single metrics become conditions within it."""
+        model = self.manifest.models[model_name]
+        asked = [*dims, *[r for w in [*where, *[f for m in leaves.values() for f in m.filters]] for _, r in references(w)]]
+        items = {name: self.resolve(model, name, time) for name in asked}
+        rows = self._joined(spark, model, items)
+        for w in where:
+            rows = rows.where(_template(w))
+        conditions = {k: [_template(f) for f in m.filters] for k, m in leaves.items()}
+        if all(conditions.values()):  # groups in which no metric has a row are no groups
+            any_of = F.lit(False)
+            for c in conditions.values():
+                any_of = any_of | _all(c)
+            rows = rows.where(any_of)
+        rows = rows.select(*[F.col(f"`{d}`").alias(f"g{i}") for i, d in enumerate(dims)], *[self._input(model, m, conditions[k]).alias(f"m{i}") for i, (k, m) in enumerate(leaves.items())], *[_all(c).alias(f"f{i}") for i, c in enumerate(conditions.values())])
+        aggregates = []
+        for i, (key, m) in enumerate(leaves.items()):
+            _, measure = self.manifest.measure(m.measure)
+            value = AGGREGATES[measure.agg](F.col(f"m{i}"))
+            if m.filters and measure.agg in ("count", "count_distinct"):
+                value = F.when(F.count_if(F.col(f"f{i}")) > 0, value)
+            aggregates.append(value.alias(f"v{i}"))
+        table = rows.groupBy(*[f"g{i}" for i in range(len(dims))]).agg(*aggregates)
+        table = table.select(*[F.col(f"g{i}").alias(d) for i, d in enumerate(dims)], *[F.col(f"v{i}").alias(k) for i, k in enumerate(leaves)])
+        for key, m in leaves.items():
+            if m.kind == "cumulative":
+                table = self._running(table, key, dims, items)
+        return table
+
+    def _running(self, table: DataFrame, key: str, dims: list[str], items: dict[str, Item]) -> DataFrame:
+        """The sum of all periods up to each, over groups of the other dimensions; without a time it is the total. Periods are few."""
+        times = [d for d in dims if d.lower().startswith("metric_time")]
+        if not times:
+            return table
+        others = [F.col(f"`{d}`") for d in dims if d not in times]
+        window = Window.partitionBy(*others).orderBy(*[F.col(f"`{t}`") for t in times]).rowsBetween(Window.unboundedPreceding, 0)
+        return table.withColumn(key, F.sum(F.col("`" + key + "`")).over(window))
+
+    def _joined(self, spark: SparkSession, model: SemanticModel, items: dict[str, Item]) -> DataFrame:
+        """The model's rows with a column for each item; one left join for each hop, shared by items."""
+        rows = spark.table(model.table).select(F.struct("*").alias("f0"))
+        at = {(): ("f0", model)}
+        for item in sorted(items.values(), key=lambda i: len(i.path)):
+            for n in range(1, len(item.path) + 1):
+                path = item.path[:n]
+                if path in at:
+                    continue
+                (alias, source), (entity, target_name) = at[path[:-1]], path[-1]
+                target, name = self.manifest.models[target_name], f"f{len(at)}"
+                right = spark.table(target.table)
+                right = right.select(F.expr(target.entity(entity).expr).alias(f"{name}_key"), F.struct("*").alias(name))
+                left_key = _expression_on(source.entity(entity).expr, alias, spark.table(source.table).columns)
+                rows = rows.join(right, left_key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+                at[path] = (name, target)
+        columns = []
+        for name, item in items.items():
+            alias, owner = at[item.path]
+            source = owner.dimension(item.column) or owner.entity(item.column)
+            value = _expression_on(source.expr, alias, spark.table(owner.table).columns)
+            columns.append((F.date_trunc(item.grain, value).cast("date") if item.grain else value).alias(name))
+        return rows.select("f0.*", *columns)
+
+    def _input(self, model: SemanticModel, m: Metric, conditions: list[Column]) -> Column:
+        _, measure = self.manifest.measure(m.measure)
+        value = F.expr(measure.expr)
+        return F.when(_all(conditions), value) if conditions else value
+
+    def _combine(self, left: DataFrame, right: DataFrame, dims: list[str]) -> DataFrame:
+        """Metrics of different models side by side: a full outer join on the dimensions, nulls equal."""
+        if not dims:
+            return left.crossJoin(right)  # one row each
+        renamed = right.select(*[F.col(f"`{d}`").alias(f"r_{i}") for i, d in enumerate(dims)], *[F.col(f"`{c}`") for c in right.columns if c not in dims])
+        condition = F.lit(True)
+        for i, d in enumerate(dims):
+            condition = condition & F.col(f"`{d}`").eqNullSafe(F.col(f"r_{i}"))
+        joined = left.join(renamed, condition, "full_outer")
+        keys = [F.coalesce(F.col(f"`{d}`"), F.col(f"r_{i}")).alias(d) for i, d in enumerate(dims)]
+        return joined.select(*keys, *[F.col(f"`{c}`") for c in (*left.columns, *right.columns) if c not in dims])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def _template(where: str) -> Column:
+    for placeholder, name in references(where):
+        where = where.replace(placeholder, f"`{name}`")
+    return F.expr(where)
+
+
+def _arithmetic(text: str, names: dict[str, Column]) -> Column:
+    def build(node) -> Column:
+        match node:
+            case ast.Expression(body=body):
+                return build(body)
+            case ast.BinOp(left=left, op=op, right=right):
+                a, b = build(left), build(right)
+                match op:
+                    case ast.Add():
+                        return a + b
+                    case ast.Sub():
+                        return a - b
+                    case ast.Mult():
+                        return a * b
+                    case ast.Div():
+                        return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+            case ast.UnaryOp(op=ast.USub(), operand=x):
+                return -build(x)
+            case ast.Constant(value=v):
+                return F.lit(v)
+            case ast.Name(id=name) if name in names:
+                return names[name]
+            case ast.Call(func=ast.Name(id=f), args=args) if f.lower() in ("coalesce", "nullif", "abs", "round", "greatest", "least"):
+                return F.call_function(f, *[build(x) for x in args])
+        raise ResolutionError(f"expression not supported: {text}")
+
+    return build(ast.parse(text.strip(), mode="eval"))
+
+
+def _expression_on(expr: str, alias: str, columns: list[str]) -> Column:
+    """A model's expression read from the struct that holds its rows."""
+    lookup = {c.lower(): c for c in columns}
+    replace = lambda m: f"{alias}.`{lookup[m[0].lower()]}`" if m[0].lower() in lookup else m[0]
+    return F.expr("".join(p if k % 2 else re.sub(r"\b[A-Za-z_]\w*\b", replace, p) for k, p in enumerate(re.split(r"('[^']*')", expr))))
