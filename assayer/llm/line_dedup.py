@@ -166,6 +166,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    bits = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("keep_bitmap").alias("__bits")).hint("shuffle_hash")
-    joined = docs.join(bits, docs[doc_id] == bits["__doc"], "left").drop("__doc")
+    key, bits = (next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("key", "bits"))
+    found = bitmaps.select(F.col("doc_id").alias(key), F.col("keep_bitmap").alias(bits)).hint("shuffle_hash")
+    joined = docs.join(found, docs[doc_id] == found[key], "left").select(*[docs[c] for c in docs.columns], found[bits])
     return joined.mapInArrow(drop, docs.schema)

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    at = tempfile.mkdtemp(prefix="assayer-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return f"file://{at}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a folder of our own only where none is set (tests, one machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="assayer-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
     return at.rstrip("/")
 
 

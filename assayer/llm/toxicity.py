@@ -41,8 +41,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(index, bounds), -30, 30)))
 
 
-def choose_terms(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, least_rows: int, most_terms: int) -> np.ndarray:
-    """The terms that tell most about the label, by the chi-squared statistic of term and label."""
+def choose_terms(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, least_rows: int, most_terms: int, least_chi: float = 0.0) -> np.ndarray:
+    """The terms that tell most about the label, by the chi-squared statistic of term and label, which is `least_chi` or more."""
     row_label = np.repeat(label, np.diff(bounds))
     df = np.bincount(index, minlength=1 << bits).astype(np.float64)
     pos = np.bincount(index, weights=row_label, minlength=1 << bits)
@@ -51,13 +51,13 @@ def choose_terms(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits:
     spread = expected * (1 - df / max(n, 1)) * (1 - p / max(n, 1))
     chi = np.where((df >= least_rows) & (spread > 0), (pos - expected) ** 2 / np.where(spread > 0, spread, 1), -1)
     order = np.argsort(-chi, kind="stable")[:most_terms]
-    return np.sort(order[chi[order] >= 0])
+    return np.sort(order[chi[order] >= least_chi])
 
 
-def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 8, rate: float = 0.05, l2: float = 1e-3, batch: int = 128, least_rows: int = 5, most_terms: int = 2048, seed: int = 11) -> ToxicityModel:
-    """Adaptive-gradient descent on the logistic loss of the machine over the chosen terms."""
+def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 8, rate: float = 0.05, l2: float = 1e-3, batch: int = 128, least_steps: int = 300, least_rows: int = 5, most_terms: int = 2048, least_chi: float = 15.0, seed: int = 11) -> ToxicityModel:
+    """Adaptive-gradient descent on the logistic loss of the machine over the chosen terms; small samples are gone through more often."""
     random = np.random.Generator(np.random.PCG64(seed))
-    chosen = choose_terms(index, bounds, label, bits, least_rows, most_terms)
+    chosen = choose_terms(index, bounds, label, bits, least_rows, most_terms, least_chi)
     slot = np.full(1 << bits, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[index] >= 0
@@ -65,6 +65,7 @@ def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits:
     share = np.clip(label.mean(), 1e-3, 1 - 1e-3) if len(label) else 0.5
     w, v, bias = np.zeros(len(chosen)), random.normal(0, 0.05, (len(chosen), factors)), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), factors), 1e-6), 1e-6
+    rounds = max(rounds, -(-least_steps * batch // max(1, len(label))))
     for _ in range(rounds if len(chosen) else 0):
         order = random.permutation(len(label))
         for first in range(0, len(order), batch):
