@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.model import Comparison, EvalCase, Expectation, ExpectationSuite, GoldQuery
+from assayer.model import Comparison, EvalCase, GoldQuery
 
 SPIDER = "db_id string, question string, query string"
 BIRD = "db_id string, question string, evidence string, SQL string, question_id string, difficulty string"
@@ -39,19 +38,6 @@ def as_cases(rows: DataFrame, comparison: Comparison | None = None) -> list[Eval
     return [EvalCase(r["case_id"], r["question"], GoldQuery(r["gold_sql"]), comparison or Comparison(), metadata={"db_id": r["db_id"], "difficulty": r["difficulty"]}) for r in rows.collect()]
 
 
-def suites_from_tests(manifest_path: str) -> dict[str, ExpectationSuite]:
-    """not_null and unique tests of a project's manifest, by model."""
-    with open(manifest_path, encoding="utf-8") as f:
-        nodes = json.load(f)["nodes"].values()
-    suites: dict[str, list[Expectation]] = {}
-    for n in nodes:
-        test = n.get("test_metadata") or {}
-        if n.get("resource_type") == "test" and test.get("name") in ("not_null", "unique"):
-            model = (n.get("attached_node") or (n.get("depends_on", {}).get("nodes") or [""])[0]).rsplit(".", 1)[-1]
-            suites.setdefault(model, []).append(Expectation(test["name"], test.get("kwargs", {}).get("column_name") or n.get("column_name")))
-    return {m: ExpectationSuite(tuple(e)) for m, e in suites.items()}
-
-
 def extract_sql(reply: str) -> str | None:
     """The first fenced block of a reply, else all of it; None if that is empty."""
     m = re.search(r"```[a-zA-Z]*\s*\n(.*?)```", reply, re.DOTALL)
