@@ -14,10 +14,10 @@ from assayer.catalog_sql import QUERIES as SQL
 from assayer.functions.tolerance import rounded, scale_of
 from assayer.model import Comparison, EvalCase, Expectation, ExpectationSuite, GoldQuery, Rows
 from assayer.operators import diff, expect
-from assayer.operators.accuracy import BIRD, SPIDER, ExecutionAccuracy, by_position, equal_bags, equal_lists, fingerprints
+from assayer.operators.accuracy import BIRD, SPIDER, ExecutionAccuracy, by_position, fingerprints
 from assayer.operators.align import aligned, reconcile, relation, type_mismatches
 from assayer.plans.equivalence import equivalent, unstable
-from assayer.score import Expectations, FirstDecisive, ResultSetEquivalence, SemanticEquivalence, observed_equivalence
+from assayer.score import FirstDecisive, ResultSetEquivalence, SemanticEquivalence, observed_equivalence
 from assayer.score import ExecutionAccuracy as AccuracyScorer
 from assayer.sources import cases
 from assayer.sources.engine import Budget, Engine, ddl
@@ -514,6 +514,3 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     gold = engine.execute("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1").df
     model = engine.execute("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1").df
     return diff.bag_counts(*diff.prepared(gold, model, gold.columns, gold.schema, 1e-2), gold.columns)
-
-
-__all__ = ["ORACLES", "QUERIES", "Expectations", "equal_bags", "equal_lists", "flagship"]

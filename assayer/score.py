@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-from assayer.model import EvalCase, ExpectationSuite, GoldQuery, ResultDiff, Rows, Score
+from assayer.model import EvalCase, ExpectationSuite, GoldQuery, ResultDiff, Score
 from assayer.operators import diff, expect
 from assayer.operators.accuracy import ExecutionAccuracy as Comparator
 from assayer.operators.align import reconcile, relation, type_mismatches
@@ -193,6 +193,3 @@ def observed_equivalence() -> FirstDecisive:
 
 def judged_equivalence(ask) -> FirstDecisive:
     return FirstDecisive((SemanticEquivalence(), Judge(ask)))
-
-
-__all__ = ["ExecutionAccuracy", "Expectations", "FirstDecisive", "Judge", "ResultSetEquivalence", "Rows", "SemanticEquivalence", "judged_equivalence", "observed_equivalence"]
