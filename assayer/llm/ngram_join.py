@@ -170,10 +170,11 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
     # Prefixes of nodes only: copies of a set stand behind their node.
     own = prefixes(texts.where("id is not null"), level, width, percent).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
     postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", F.struct("id", "n", "pos").alias("x"))
-    postings = postings.repartition("gram")  # both the lists' bounds and their members are read from this one exchange
-    many = postings.groupBy("gram").agg(F.min("x.id").alias("lo"), F.max("x.id").alias("hi")).where("lo < hi").select("gram")
+    # Both the lists' bounds and their members are read from this one exchange, as both need all of its columns.
+    postings = postings.repartition("gram")
+    many = postings.groupBy("gram").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo.id < hi.id").select("gram")
     lists = scratch.keep(postings.join(many.hint("shuffle_hash"), "gram", "left_semi").select("gram", "x", F.col("x.id").alias("root")), "lists")
-    some = scratch.keep(texts.join(lists.select("x.id").distinct(), "id", "left_semi"), "texts")
+    some = scratch.keep(texts.join(lists.select("x.id").distinct().hint("merge"), "id", "left_semi"), "texts")
     profiles = nodes.select("node", "profile")
 
     def verified(candidates: DataFrame) -> DataFrame:
