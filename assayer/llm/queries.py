@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = tokens.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), tokens.bytes_in_budget(F.col("prefix_table"), LIMIT).alias("bytes_in_limit"))
+    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from assayer.llm.text import _DOWN, _SEED, _UP, mix, utf8
 
 #: Fixed value: how the vocabulary file cuts a text into pieces (the file's own pattern).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-GROUP = 1 << 22
+GROUP = 1 << 21
 
 # Classes of bytes: 0 white space, 1 letters, 2 digits, 3 all else.
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -58,12 +58,12 @@ class Payloads:
     def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         if len(self.keys) + len(keys) > self.limit:
             self._forget()
-        start = np.concatenate((self.start, len(self.pool) + np.cumsum(sizes) - sizes))
-        order = np.argsort(keys := np.concatenate((self.keys, keys)), kind="stable")
+        at = np.searchsorted(self.keys, keys)  # new keys come in ascending order
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.used = np.insert(self.used, at, self.now)
         self.pool = np.concatenate((self.pool, flat))
-        self.keys, self.start = keys[order], start[order]
-        self.size = np.concatenate((self.size, sizes))[order]
-        self.used = np.concatenate((self.used, np.full(len(sizes), self.now)))[order]
 
     def _forget(self) -> None:
         keep = self.used >= self.now  # what this group of texts uses stays
@@ -83,7 +83,7 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class WordBpe:
-    def __init__(self, path: str, remember: int = 1_500_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -107,7 +107,7 @@ class WordBpe:
         self.made_by: dict[int, tuple[int, int, int]] = {}  # rank and parts
         for (a, b), (k, t) in self.merge.items():
             self.made_by.setdefault(t, (k, a, b))
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}  # by both tokens
         self._state: tuple[str, list[int], list[int], list[int]] = ("", [-1], [0], [])  # of the last piece
         self.ids, self.deltas = Payloads("<u4", remember), Payloads("int8", remember)
 
@@ -262,11 +262,11 @@ class WordBpe:
             closed = opened = 0
             for j in range(i - 1, max(-1, i - longest - 1), -1):
                 part = text[j:i]
-                if not closed and (t := closed_as.get(part)) is not None and (not j or (known[key] if (key := (last[j], t)) in known else apart(key))):
+                if not closed and (t := closed_as.get(part)) is not None and (not j or (known[key] if (key := last[j] << 20 | t) in known else apart(key))):
                     closed = count[j] + 1
                     if opened:
                         break
-                if not opened and (t := opened_as.get(part)) is not None and (not j or (known[key] if (key := (last[j], t)) in known else apart(key))):
+                if not opened and (t := opened_as.get(part)) is not None and (not j or (known[key] if (key := last[j] << 20 | t) in known else apart(key))):
                     opened, token = count[j] + 1, t
                     if closed:
                         break
@@ -276,11 +276,11 @@ class WordBpe:
         self._state = text, last, count, out
         return out
 
-    def apart(self, key: tuple[int, int]) -> bool:
+    def apart(self, key: int) -> bool:
         """Whether two neighbouring tokens stay as they are: no merge across their border comes before those that make them."""
-        if len(self._apart) > 1_000_000:
+        if len(self._apart) > 200_000:
             self._apart.clear()
-        a, b = key
+        a, b = key >> 20, key & 0xFFFFF
         merge, made, base = self.merge, self.made_by, (-1, -1, -1)
         bound, good = 1 << 40, True
         while good:
