@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayer.llm.components import components
 from assayer.llm.storage import Scratch
@@ -132,7 +133,6 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            left, right = (np.concatenate([np.zeros(0, np.uint64)]) for _ in range(2))
             for (left, lb), (right, rb) in zip(_rows(batch.column(2), width), _rows(batch.column(3), width), strict=True):
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 good.append(100 * common >= percent * (lb + rb - common))
@@ -170,10 +170,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
     # Prefixes of nodes only: copies of a set stand behind their node.
     own = prefixes(texts.where("id is not null"), level, width, percent).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
     postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", F.struct("id", "n", "pos").alias("x"))
-    # Both the lists' bounds and their members are read from this one exchange, as both need all of its columns.
-    postings = postings.repartition("gram")
-    many = postings.groupBy("gram").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo.id < hi.id").select("gram")
-    lists = scratch.keep(postings.join(many.hint("shuffle_hash"), "gram", "left_semi").select("gram", "x", F.col("x.id").alias("root")), "lists")
+    # A window finds the lists of two members or more in the one exchange that deals them out; long lists spill.
+    in_list = Window.partitionBy("gram")
+    many = postings.withColumns({"lo": F.min("x.id").over(in_list), "hi": F.max("x.id").over(in_list)}).where("lo < hi")
+    lists = scratch.keep(many.select("gram", "x", F.col("x.id").alias("root")), "lists")
     some = scratch.keep(texts.join(lists.select("x.id").distinct().hint("merge"), "id", "left_semi"), "texts")
     profiles = nodes.select("node", "profile")
 
@@ -204,6 +204,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
     links = scratch.keep(links.unionByName(verified(pairs.join(seen, ["a", "b"], "left_anti"))), "links")
     roots = components(links, scratch)
 
+    scratch.drop(lists, some)
     placed = nodes.join(roots, nodes["node"] == roots["id"], "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return summary.join(placed, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
