@@ -13,13 +13,15 @@ from assayer.llm.text import BY_LETTERS
 
 #: Words, and their beginnings (in bytes) for inflected forms.
 TERMS = Terms(BY_LETTERS, bits=20, beginnings=(4, 5, 6))
+#: So many terms at most are searched for pairs at the start of the factors.
+PAIR_TERMS = 2048
 
 
 @dataclass
 class ToxicityModel:
     """score = sigmoid(bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), where x is 1 for a term that occurs.
 
-    Terms that the fit left out have slot -1 and no weight.
+    Terms without weight and factors have slot -1.
     """
 
     slot: np.ndarray
@@ -54,40 +56,133 @@ def choose_terms(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits:
     return np.sort(order[chi[order] >= least_chi])
 
 
-def fit_machine(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 8, rate: float = 0.05, l2: float = 1e-3, batch: int = 128, least_steps: int = 300, least_rows: int = 5, most_terms: int = 2048, least_chi: float = 15.0, seed: int = 11) -> ToxicityModel:
-    """Adaptive-gradient descent on the logistic loss of the machine over the chosen terms; small samples are gone through more often."""
+def fit_machine(
+    index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 4, rate: float = 2.0, pair_rate: float = 0.05, l1: float = 4.0, l2: float = 0.1, batch: int = 32, least_steps: int = 300,
+    least_rows: int = 1, most_terms: int | None = None, least_chi: float = 0.0, folds: int = 4, seed: int = 11,
+) -> ToxicityModel:
+    """Follow-the-regularised-leader on the logistic loss of the machine; small samples are gone through more often.
+
+    Every term of the sample takes part, unless the caller sets one of the three limits. Weights alone are fitted first, for
+    each fold on the other ones; pairs that they leave unexplained in rows they have not seen give the factors to start
+    from (`pair_factors`). Terms whose weight and factors end as zeros add nothing to a score and get slot -1.
+    """
     random = np.random.Generator(np.random.PCG64(seed))
-    chosen = choose_terms(index, bounds, label, bits, least_rows, most_terms, least_chi)
+    if least_rows <= 1 and most_terms is None and least_chi <= 0:
+        chosen, at = np.unique(index, return_inverse=True)
+        ends = bounds
+    else:
+        chosen = choose_terms(index, bounds, label, bits, least_rows, most_terms or 1 << bits, least_chi)
+        place = np.full(1 << bits, -1)
+        place[chosen] = np.arange(len(chosen))
+        keep = place[index] >= 0
+        at, ends = place[index][keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
+    at = at.astype(np.int32)
+    settings = (rounds, rate, pair_rate, l1, l2, batch, least_steps)
+    fold, error = random.permutation(len(label)) % folds, np.zeros(len(label))
+    for k in range(folds if len(label) >= folds else 0):
+        w, _, bias = _descend(at, ends, label, np.flatnonzero(fold != k), np.zeros((len(chosen), 0)), random, *settings)
+        for first in range(0, len(label), 1024):
+            some = slice(first, first + 1024)
+            own = ends[first : first + 1025]
+            logit = bias + row_sums(w[at[own[0] : own[-1]]], own - own[0])
+            error[some] = np.where(fold[some] == k, 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[some], error[some])
+    w, v, bias = _descend(at, ends, label, np.arange(len(label)), pair_factors(at, ends, error, factors, len(chosen)), random, *settings)
+    kept = (w != 0) | v.any(axis=1)
     slot = np.full(1 << bits, -1, dtype=np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    keep = slot[index] >= 0
-    at, ends = slot[index][keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
-    share = np.clip(label.mean(), 1e-3, 1 - 1e-3) if len(label) else 0.5
-    w, v, bias = np.zeros(len(chosen)), random.normal(0, 0.05, (len(chosen), factors)), float(np.log(share / (1 - share)))
-    gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), factors), 1e-6), 1e-6
-    rounds = max(rounds, -(-least_steps * batch // max(1, len(label))))
-    for _ in range(rounds if len(chosen) else 0):
-        order = random.permutation(len(label))
-        for first in range(0, len(order), batch):
-            rows = order[first : first + batch]
-            size = ends[rows + 1] - ends[rows]
-            own = np.concatenate(([0], np.cumsum(size)))
-            i = at[np.repeat(ends[rows] - own[:-1], size) + np.arange(own[-1])]
-            sums = row_sums(v[i], own)
-            logit = bias + row_sums(w[i], own) + ((sums**2).sum(axis=1) - row_sums((v[i] ** 2).sum(axis=1), own)) / 2
-            error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[rows]
-            each = np.repeat(error, size)
-            touched, inverse = np.unique(i, return_inverse=True)
-            dw = np.bincount(inverse, each, len(touched)) + l2 * w[touched]
-            dv = l2 * v[touched]
-            np.add.at(dv, inverse, each[:, None] * (np.repeat(sums, size, axis=0) - v[i]))
-            gw[touched] += dw**2
-            gv[touched] += dv**2
+    slot[chosen[kept]] = np.arange(np.count_nonzero(kept))
+    return ToxicityModel(slot, w[kept], v[kept], bias)
+
+
+def _descend(at: np.ndarray, ends: np.ndarray, label: np.ndarray, rows: np.ndarray, v: np.ndarray, random: np.random.Generator, rounds: int, rate: float, pair_rate: float, l1: float, l2: float, batch: int, least_steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, factors and bias from these rows, with factors that start as `v`; where none does, weights alone."""
+    share = np.clip(label[rows].mean(), 1e-3, 1 - 1e-3) if len(rows) else 0.5
+    w, bias, gb, paired = np.zeros(len(v)), float(np.log(share / (1 - share))), 1e-6, v.any()
+    # The leader's state: sums of gradients less the drift, and of squared gradients.
+    zw, nw, zv, nv = np.zeros_like(w), np.zeros_like(w), -v * (1 / pair_rate + l2) - np.sign(v) * l1, np.zeros_like(v)
+    groups = _groups(at, ends, label, rows, batch, random)
+
+    def lead(z: np.ndarray, n: np.ndarray, x: np.ndarray, terms: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        before = n[terms]
+        after = before + gradient**2
+        z[terms] += gradient - (np.sqrt(after) - np.sqrt(before)) / rate * x[terms]
+        n[terms] = after
+        sums = z[terms]
+        x[terms] = np.where(np.abs(sums) <= l1, 0, (np.sign(sums) * l1 - sums) / ((1 + np.sqrt(after)) / rate + l2))
+
+    for _ in range(max(rounds, -(-least_steps // max(1, len(groups)))) if len(w) else 0):
+        for g in random.permutation(len(groups)):
+            i, own, order, terms, starts, y = groups[g]
+            logit = bias + row_sums(w[i], own)
+            if paired:
+                sums = row_sums(v[i], own)
+                logit = logit + ((sums**2).sum(axis=1) - row_sums((v[i] ** 2).sum(axis=1), own)) / 2
+            error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y
+            if len(i):
+                dw = np.add.reduceat(error[order], starts)
+                if paired:
+                    lead(zv, nv, v, terms, np.add.reduceat((error[:, None] * sums)[order], starts) - dw[:, None] * v[terms], pair_rate)
+                lead(zw, nw, w, terms, dw, rate)
             gb += error.sum() ** 2
-            w[touched] -= rate * dw / np.sqrt(gw[touched])
-            v[touched] -= rate * dv / np.sqrt(gv[touched])
-            bias -= rate * float(error.sum()) / np.sqrt(gb)
-    return ToxicityModel(slot, w, v, bias)
+            bias -= 0.05 * float(error.sum()) / np.sqrt(gb)
+    return w, v, bias
+
+
+def _groups(at: np.ndarray, ends: np.ndarray, label: np.ndarray, rows: np.ndarray, batch: int, random: np.random.Generator) -> list[tuple]:
+    """These rows in groups: their terms and bounds; the row of each entry in the order of terms, the terms and where each begins; labels."""
+    groups, mixed = [], random.permutation(rows)
+    for first in range(0, len(mixed), batch):
+        rows = mixed[first : first + batch]
+        size = ends[rows + 1] - ends[rows]
+        own = np.concatenate(([0], np.cumsum(size)))
+        i = at[np.repeat(ends[rows] - own[:-1], size) + np.arange(own[-1])]
+        by_term = np.argsort(i, kind="stable")
+        touched, starts = np.unique(i[by_term], return_index=True)
+        groups.append((i, own, np.repeat(np.arange(len(rows), dtype=np.int16), size)[by_term], touched, starts.astype(np.int32), label[rows]))
+    return groups
+
+
+def pair_factors(at: np.ndarray, ends: np.ndarray, error: np.ndarray, factors: int, n_terms: int, least_mass: float = 4.0, at_most: int = PAIR_TERMS) -> np.ndarray:
+    """Factors whose products come near the weights of the pairs that explain what the weights of terms leave over.
+
+    A pair counts if its rows hold `least_mass` of error beyond what either term alone has, and more of it than the
+    best of so many pairs has by chance. No pair has more error of one sign than either of its terms, so terms with
+    less are left out of the search without loss; of more than `at_most` terms those stay that have most for their rows.
+    """
+    v = np.zeros((n_terms, factors))
+    row = np.repeat(np.arange(len(error)), np.diff(ends))
+    mass = np.maximum(*(np.bincount(at, np.maximum(sign * error, 0)[row], n_terms) for sign in (1, -1)))
+    able = np.flatnonzero(mass >= least_mass)
+    if len(able) > at_most:
+        able = np.sort(able[np.argsort(-mass[able] / np.sqrt(np.bincount(at, minlength=n_terms)[able]), kind="stable")[:at_most]])
+    if len(able) < 2:
+        return v
+    place = np.full(n_terms, -1)
+    place[able] = np.arange(len(able))
+    # Gradients and curvatures of all pairs, a slice of rows at a time.
+    gradient, curve = np.zeros((len(able), len(able)), np.float32), np.zeros((len(able), len(able)), np.float32)
+    for first in range(0, len(error), 1024):
+        rows = slice(ends[first], ends[min(first + 1024, len(error))])
+        x = np.zeros((min(1024, len(error) - first), len(able)), np.float32)
+        held = place[at[rows]] >= 0
+        x[row[rows][held] - first, place[at[rows]][held]] = 1
+        e = error[first : first + 1024, None].astype(np.float32)
+        gradient -= x.T @ (x * e)
+        curve += x.T @ (x * (np.abs(e) * (1 - np.abs(e))))
+    own = np.diag(gradient) / (np.diag(curve) + 1)
+    beyond = gradient - curve * (own[:, None] + own[None, :])
+    least = np.sqrt(2 * np.log(max(2, len(able) * (len(able) - 1) / 2)))
+    found = (np.abs(beyond) >= least_mass) & (np.abs(beyond) >= least * np.sqrt(curve + 1))
+    np.fill_diagonal(found, False)
+    part = np.flatnonzero(found.any(axis=1))
+    if not len(part):
+        return v
+    grid = np.ix_(part, part)
+    weight = np.where(found[grid], np.clip(beyond[grid] / (curve[grid] + 1), -4, 4), 0).astype(np.float64)
+    np.fill_diagonal(weight, np.abs(weight).max(axis=1))
+    value, vector = np.linalg.eigh(weight)
+    best = np.argsort(-value)[:factors]
+    v[able[part], : len(best)] = vector[:, best] * np.sqrt(np.maximum(value[best], 0))
+    return v
 
 
 def fit(docs: DataFrame, labels: DataFrame, at_most: int = 8000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:

@@ -260,6 +260,33 @@ def test_pairs_of_terms_count():
     assert ((model.logits(index, bounds) > 0) == (label == 1)).mean() > 0.95
 
 
+def test_pairs_of_usual_terms_with_production_defaults():
+    """8,000 rows, 11 % toxic; two words in 400 rows each, usual in clean ones, and their 20 joint rows all toxic."""
+    random = np.random.default_rng(0)
+    code = random.permutation(1 << 20)[:3003]
+    one, other, strong = code[-3:]
+    place, marked = random.permutation(8000), random.random(8000) < 0.107
+    has_one, has_other = np.isin(np.arange(8000), place[:400]), np.isin(np.arange(8000), place[380:780])
+
+    def row(*more):
+        return np.array(sorted({*code[(3000 * random.random(30) ** 3).astype(int)].tolist(), *more}), np.int32)
+
+    def flat(rows):
+        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+    rows = [row(*[one] * int(has_one[k]), *[other] * int(has_other[k]), *[strong] * int(marked[k])) for k in range(8000)]
+    model = toxicity.fit_machine(*flat(rows), (marked | has_one & has_other).astype(float), 20)
+
+    def logits(*more):
+        index, bounds = flat([row(*more) for _ in range(300)])
+        keep = model.wanted()[index]
+        return model.logits(index[keep], np.concatenate(([0], np.cumsum(keep)))[bounds])
+
+    assert model.slot[one] >= 0 and model.slot[other] >= 0
+    both = logits(one, other)
+    assert (both > 0).mean() > 0.5 and all((logits(*alone) > 0).mean() < 0.05 for alone in ((one,), (other,), ()))
+
+
 # Chat
 
 
