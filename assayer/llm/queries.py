@@ -83,7 +83,9 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.digests(telephony.store_as_telephony(_table(spark, sf_dir, "documents"), keep_pcm=False))
+    # Files and samples are stored beside their digests; small row groups, as rows are large.
+    made = telephony.digests(telephony.store_as_telephony(_table(spark, sf_dir, "documents")), "media", "pcm_rate", "pcm")
+    return Scratch(spark, "telephony").keep(made, "media", **{"parquet.block.size": 1 << 25}).drop("media", "pcm_rate", "pcm")
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", **options: int | str) -> DataFrame:
         """Write `df` and read it again: later plans start at the files, not at `df`'s lineage."""
         self.count += 1
         at = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(at)
+        df.write.option("compression", "zstd").options(**options).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *tables: DataFrame) -> None:

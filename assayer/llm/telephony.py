@@ -65,20 +65,45 @@ def read_wav(file: bytes) -> tuple[int, int, int, int, bytes]:
         at += 8 + size + size % 2
     if form is None or data is None:
         raise ValueError("a WAV file without format or data")
+    if not form[1] or not form[2]:
+        raise ValueError("a WAV file without channels or rate")
+    if form[0] == IMA and form[5] != 4:
+        raise ValueError(f"IMA ADPCM of {form[5]} bits")
     return form[0], form[1], form[2], form[4], data
 
 
-def decode_ima(data: bytes, block: int) -> np.ndarray:
-    """Samples of one-channel IMA ADPCM. Blocks do not depend on each other: each step handles all blocks at once. A last, partial block is left out."""
-    blocks = np.frombuffer(data, dtype=np.uint8)[: len(data) // block * block].reshape(-1, block)
-    value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
-    index = np.minimum(blocks[:, 2].astype(np.int32), 88)
-    codes = np.empty((len(blocks), (block - 4) * 2), dtype=np.uint8)
-    codes[:, 0::2], codes[:, 1::2] = blocks[:, 4:] & 15, blocks[:, 4:] >> 4
-    out = np.empty((len(blocks), codes.shape[1] + 1), dtype=np.int16)
+def decode_ima(data: bytes, block: int, channels: int = 1) -> np.ndarray:
+    """Samples of IMA ADPCM, frame by frame. Blocks do not depend on each other: each step handles all blocks at once.
+
+    A block begins with four bytes for each channel, then channels take turns by four bytes. The last block may be
+    short: its whole frames count. Bytes too few for its headers, or headers alone that are none (an index beyond 88), are
+    left out.
+    """
+    if block <= 4 * channels:
+        raise ValueError(f"blocks of {block} bytes for {channels} channels")
+    whole = len(data) // block * block
+    blocks, rest = np.frombuffer(data[:whole], dtype=np.uint8).reshape(-1, block), np.frombuffer(data[whole:], dtype=np.uint8)
+    parts = [_ima_blocks(blocks, channels)]
+    if len(rest) > 4 * channels or len(rest) == 4 * channels and (rest[2::4] <= 88).all():
+        parts.append(_ima_blocks(rest.reshape(1, -1), channels))
+    return np.concatenate(parts)
+
+
+def _ima_blocks(blocks: np.ndarray, channels: int) -> np.ndarray:
+    heads = blocks[:, : 4 * channels].reshape(len(blocks), channels, 4)
+    value = heads[:, :, :2].copy().view("<i2")[:, :, 0].astype(np.int32)
+    index = np.minimum(heads[:, :, 2].astype(np.int32), 88)
+    body = blocks[:, 4 * channels :]
+    turns, left = divmod(body.shape[1], 4 * channels)
+    each = body[:, : turns * 4 * channels].reshape(len(blocks), turns, channels, 4).transpose(0, 2, 1, 3).reshape(len(blocks), channels, turns * 4)
+    if (last := left - 4 * (channels - 1)) > 0:
+        # A last turn that the last channel has but a part of.
+        cut = np.stack([body[:, at : at + last] for at in range(turns * 4 * channels, turns * 4 * channels + 4 * channels, 4)], axis=1)
+        each = np.concatenate((each, cut), axis=2)
+    out = np.empty((len(blocks), 2 * each.shape[2] + 1, channels), dtype=np.int16)
     out[:, 0] = value
-    for k in range(codes.shape[1]):
-        code, step = codes[:, k].astype(np.int32), IMA_STEPS[index]
+    for k in range(2 * each.shape[2]):
+        code, step = (each[:, :, k // 2] >> 4 * (k % 2) & 15).astype(np.int32), IMA_STEPS[index]
         change = (step >> 3) + np.where(code & 1, step >> 2, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 4, step, 0)
         value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767).astype(np.int32)
         index = np.clip(index + IMA_MOVES[code], 0, 88)
@@ -92,13 +117,13 @@ def decode(file: bytes) -> tuple[np.ndarray, int]:
     if kind in TABLES:
         samples = TABLES[kind][np.frombuffer(data, dtype=np.uint8)]
     elif kind == IMA:
-        samples = decode_ima(data, block)
+        samples = decode_ima(data, block, channels)
     elif kind == PCM and block == 2 * channels:
         samples = np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2")
-    elif kind == PCM:
+    elif kind == PCM and block == channels:
         samples = (np.frombuffer(data, dtype=np.uint8).astype(np.int16) - 128) << 8
     else:
-        raise ValueError(f"format {kind}")
+        raise ValueError(f"format {kind} in frames of {block} bytes")
     return samples[: len(samples) // channels * channels].reshape(-1, channels), rate
 
 
@@ -158,14 +183,109 @@ def store_as_telephony(docs: DataFrame, law: int = MU_LAW, rate: int = 8000, to_
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(store, MEDIA)
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], [c.split()[0] for c in MEDIA.split(", ")])
+def _batch(rows: list[list], schema: str = MEDIA) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(rows, types, strict=True)], list(names))
+
+
+DECODED = "doc_id bigint, rate int, channels int, n_frames bigint, pcm_rate int, pcm binary, feature string, error string"
+
+
+def decode_audio(files: DataFrame, to_rate: int = 16000, doc_id: str = "doc_id", audio: str = "media") -> DataFrame:
+    """Each WAV file of a binary column (mu-law, A-law, IMA ADPCM, 8- or 16-bit PCM) as resampled 16-bit PCM.
+
+    `pcm` has `n_frames` frames at `to_rate`, the samples of all channels in turn. A file that can't be read has its
+    `error` and no samples; a null file has neither. Null ids stay null; repeated rows repeat. One pass, no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(8)]
+            held = 0
+            for doc, file in zip(batch.column(0), batch.column(1), strict=True):
+                row = [doc.as_py(), *[None] * 7]
+                if (raw := file.as_py()) is not None:
+                    try:
+                        samples, rate = decode(raw)
+                        pcm = np.stack([resample(own, rate, to_rate) for own in samples.T], axis=1)
+                        row[1:7] = rate, samples.shape[1], len(pcm), to_rate, pcm.astype("<i2").tobytes(), ";".join(map(describe, pcm.T))
+                        held += pcm.nbytes
+                    except (ValueError, struct.error) as error:
+                        row[7] = str(error)
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+                if held > 1 << 24:
+                    yield _batch(rows, DECODED)
+                    rows, held = [[] for _ in range(8)], 0
+            yield _batch(rows, DECODED)
+
+    return files.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(audio).alias("audio")).mapInArrow(run, DECODED)
+
+
+def _batch(rows: list[list], schema: str = MEDIA) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(rows, types, strict=True)], list(names))
+
+
+DECODED = "doc_id bigint, rate int, channels int, n_frames bigint, pcm_rate int, pcm binary, feature string, error string"
+
+
+def decode_audio(files: DataFrame, to_rate: int = 16000, doc_id: str = "doc_id", audio: str = "media") -> DataFrame:
+    """Each WAV file of a binary column (mu-law, A-law, IMA ADPCM, 8- or 16-bit PCM) as resampled 16-bit PCM.
+
+    `pcm` has `n_frames` frames at `to_rate`, the samples of all channels in turn. A file that can't be read has its
+    `error` and no samples; a null file has neither. Null ids stay null; repeated rows repeat. One pass, no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(8)]
+            held = 0
+            for doc, file in zip(batch.column(0), batch.column(1), strict=True):
+                row = [doc.as_py(), *[None] * 7]
+                if (raw := file.as_py()) is not None:
+                    try:
+                        samples, rate = decode(raw)
+                        pcm = np.stack([resample(own, rate, to_rate) for own in samples.T], axis=1)
+                        row[1:7] = rate, samples.shape[1], len(pcm), to_rate, pcm.astype("<i2").tobytes(), ";".join(map(describe, pcm.T))
+                        held += pcm.nbytes
+                    except (ValueError, struct.error) as error:
+                        row[7] = str(error)
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+                if held > 1 << 24:
+                    yield _batch(rows, DECODED)
+                    rows, held = [[] for _ in range(8)], 0
+            yield _batch(rows, DECODED)
+
+    return files.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(audio).alias("audio")).mapInArrow(run, DECODED)
+
+
+def read_back(stored: DataFrame) -> DataFrame:
+    """`payload` as the reader gets it out of the stored files, and `feature` of the stored samples, for `digests`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(7)]
+            held = 0
+            for doc, n, media, rate, pcm in zip(*batch.columns, strict=True):
+                file, samples = media.as_py(), pcm.as_py()
+                row = (doc.as_py(), n.as_py(), file, rate.as_py(), None, read_wav(file)[4], describe(np.frombuffer(samples, dtype="<i2")))
+                for column, value in zip(rows, row, strict=True):
+                    column.append(value)
+                held += 2 * len(file)
+                if held > 1 << 24:
+                    yield _batch(rows)
+                    rows, held = [[] for _ in range(7)], 0
+            yield _batch(rows)
 
+    return stored.select("doc_id", "n_bytes", "media", "pcm_rate", "pcm").mapInArrow(run, MEDIA)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """Sizes and check sums of the stored files and of what was read back from them."""
+def digests(stored: DataFrame, *also: str) -> DataFrame:
+    """Sizes and check sums of the stored files and of what was read back from them; also: columns that stay."""
     return stored.select(
         "doc_id",
         "n_bytes",
@@ -175,4 +295,5 @@ def digests(stored: DataFrame) -> DataFrame:
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        *also,
     )

@@ -399,6 +399,65 @@ def test_audio_query(spark):
     assert telephony.store_as_telephony(docs.limit(0)).count() == 0
 
 
+def test_ima_short_blocks_and_channels():
+    random.seed(3)
+    head = lambda: random.randbytes(2) + bytes([random.randrange(89), 0])
+    whole, short = head() + random.randbytes(60), head() + random.randbytes(21)
+    want = ima_by_sample(whole) + ima_by_sample(short)
+    assert telephony.decode_ima(whole + short, 64).tolist() == want
+    assert telephony.decode_ima(short, 64).tolist() == ima_by_sample(short)
+    assert telephony.decode_ima(head(), 64).shape == (1,)
+    # Two channels: heads first, then four bytes of each in turn; the last turn of the short block is cut.
+    blocks, left, right = b"", [], []
+    for size, cut in ((32, 0), (12, 2)):
+        a, b = (head() + random.randbytes(size) for _ in range(2))
+        turns = b"".join(a[k : k + 4] + b[k : k + 4] for k in range(4, size + 4, 4))
+        blocks += a[:4] + b[:4] + turns[: len(turns) - cut]
+        left += ima_by_sample(a[: len(a) - cut])
+        right += ima_by_sample(b[: len(b) - cut])
+    samples, rate = telephony.decode(telephony.write_wav(telephony.IMA, 8000, blocks, channels=2, bits=4, block=72))
+    assert rate == 8000 and samples[:, 0].tolist() == left and samples[:, 1].tolist() == right
+    for wrong in ({"bits": 3, "block": 64}, {"bits": 4, "block": 4}):
+        with pytest.raises(ValueError):
+            telephony.decode(telephony.write_wav(telephony.IMA, 8000, whole, **wrong))
+    with pytest.raises(ValueError):
+        telephony.decode(telephony.write_wav(telephony.PCM, 8000, b"abcdef", bits=24))
+
+
+def test_decode_audio(spark):
+    random.seed(5)
+    block = random.randbytes(2) + bytes([20, 0]) + random.randbytes(60)
+    stereo = telephony.write_wav(telephony.PCM, 8000, np.arange(-6, 6, dtype="<i2").tobytes(), channels=2, bits=16)
+    files = {
+        1: telephony.write_wav(telephony.MU_LAW, 8000, bytes(range(256))), 2: telephony.write_wav(telephony.A_LAW, 11025, bytes(range(256))),
+        3: telephony.write_wav(telephony.IMA, 8000, block + block[:20], bits=4, block=64), 4: stereo, 5: b"no file", 6: None,
+    }
+    rows = {r["doc_id"]: r for r in telephony.decode_audio(frame(spark, [*files.items(), (None, stereo)], "doc_id bigint, media binary")).collect()}
+    assert len(rows) == 7 and rows[None]["pcm"] == rows[4]["pcm"]
+    for k in (1, 2, 3, 4):
+        samples, rate = telephony.decode(files[k])
+        pcm = np.frombuffer(rows[k]["pcm"], "<i2").reshape(-1, samples.shape[1])
+        assert rows[k]["rate"] == rate and rows[k]["channels"] == samples.shape[1] and rows[k]["n_frames"] == len(pcm) and rows[k]["error"] is None
+        assert all(pcm[:, c].tolist() == telephony.resample(samples[:, c], rate, 16000).tolist() for c in range(samples.shape[1]))
+    assert rows[3]["n_frames"] == 2 * (121 + 33)
+    assert rows[5]["pcm"] is None and rows[5]["error"] == "not a WAV file"
+    assert rows[6]["pcm"] is None and rows[6]["error"] is None
+
+
+def test_query_stores_pcm(spark, monkeypatch):
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t", **options: kept.append(keep(self, df, name, **options)) or kept[-1])
+    rows = queries.audio(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert sorted(rows) == sorted(telephony.digests(telephony.store_as_telephony(docs)).collect())
+    (stored,) = kept
+    assert stored.count() == len(rows)
+    for r in stored.collect():
+        samples, rate = telephony.decode(bytes(r["media"]))
+        assert r["pcm"] == telephony.resample(samples[:, 0], rate, r["pcm_rate"]).tobytes()
+
+
 # Benchmark items
 
 
