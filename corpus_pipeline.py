@@ -27,16 +27,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies. Rows without an id stay."""
-    classes = ngram_join.jaccard_components(docs, Scratch(spark, "ngram-join"))
-    copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row, the first of the smallest id, of each group of near copies and of repeated rows; rows without an id are members too.
+
+    Rows are told apart by a number written with them. Texts without words are no copies of each other, but repeat by id.
+    """
+    scratch = Scratch(spark, "ngram-join")
+    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    classes = ngram_join.jaccard_components(numbered, scratch, doc_id="__row").select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    by_id = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    members = numbered.select("__row", "doc_id").join(classes, "__row")
+    groups = members.groupBy(by_id.alias("by_id"), F.when(by_id, F.col("doc_id")).otherwise(F.col("component_id")).alias("g"))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    return numbered.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no benchmark item, with or without an id, each by its own text."""
+    key = F.xxhash64("doc_id", "text")
+    found = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.withColumn("__key", key).join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

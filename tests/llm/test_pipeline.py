@@ -44,6 +44,21 @@ def test_stages_on_an_empty_table(spark, stages):
         assert stage(spark, stages[0].limit(0), SF).count() == 0
 
 
+def test_repeated_and_null_id_rows(spark):
+    """Each row counts by its own text: repeats go, copies and leaks without an id go, clean texts that share an id stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r["text"] or "").split()) >= 8)
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, item), (None, item), (4, ""), (4, ""), (5, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema).repartition(3)
+    # By hand: what each stage leaves.
+    single = sorted([(1, a), (None, b), (3, c), (3, item), (4, ""), (5, None)], key=str)
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_near_copies(spark, table, SF).collect()]
+    assert sorted(found, key=str) == single
+    clean = sorted([r for r in rows if r[1] != item], key=str)
+    assert sorted([(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, table, SF).collect()], key=str) == clean
+
+
 def test_every_operator_has_a_query():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
