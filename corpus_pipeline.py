@@ -49,8 +49,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths."""
-    return packing.binary_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_tokens=False).drop("tokens")
+    """Sequences of power-of-two lengths, with their ids."""
+    return packing.binary_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

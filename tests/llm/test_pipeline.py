@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 
 import __spark_entry__
@@ -59,6 +61,11 @@ def test_repeated_and_null_id_rows(spark):
     assert sorted([(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, table, SF).collect()], key=str) == clean
 
 
+def test_pieces_hold_their_ids(stages):
+    rows = stages[-1].collect()
+    assert rows and all(len(r["tokens"]) == 4 * r["length"] and zlib.crc32(r["tokens"]) == r["ids_crc32"] for r in rows)
+
+
 def test_every_operator_has_a_query():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
