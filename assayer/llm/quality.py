@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.ship import frugal
 from assayer.llm.sparse import Terms, held_out, labelled_sample, row_sums, scores, sparse_rows
 from assayer.llm.text import BY_RUNS
 
@@ -85,6 +86,7 @@ def keep(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str
     """The rows of `docs`, all columns as they are, whose text scores `threshold` or more. No shuffle or join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = TERMS.rows(batch.column(batch.schema.get_field_index(text)))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.ship import frugal
 from assayer.llm.text import mix, tokens
 
 _U = np.uint64
@@ -72,6 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int
 def sparse_rows(sample: DataFrame, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indices, counts, bounds and labels of a bounded sample, in the order of its ids."""
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, count = [], []
@@ -97,6 +99,7 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def scores(docs: DataFrame, score: Callable, terms: Terms, wanted: np.ndarray | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id` and `score` of every row: `score(indices, counts, bounds)` gives a group's scores. No shuffle."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [score(*group) for group in terms.rows(batch.column(1), wanted)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from assayer.llm.ship import frugal
 from assayer.llm.wordbpe import WordBpe
 
 TABLE = "doc_id bigint, n_bytes bigint, n_tokens bigint, prefix_table binary"
@@ -32,6 +33,7 @@ def token_table(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     repeated results; other columns of `docs` are not read. One pass, no shuffle, memory by the longest text.
     """
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:

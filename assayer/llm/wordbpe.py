@@ -11,6 +11,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from assayer.llm.text import _DOWN, _SEED, _UP, mix, utf8
 
 #: Fixed value: how the vocabulary file cuts a text into pieces (the file's own pattern).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-GROUP = 1 << 21
+GROUP = 1 << 20
 
 # Classes of bytes: 0 white space, 1 letters, 2 digits, 3 all else.
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -87,29 +88,46 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.end = spec["model"]["end_of_word_suffix"]
-        self.vocab = spec["model"]["vocab"]
+        self.path, self.end = path, spec["model"]["end_of_word_suffix"]
+        vocab = spec["model"]["vocab"]
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.pieces = regex.compile(PIECES)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merge = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(merges)}
         self.symbols = byte_symbols()
-        self.open = np.array([self.vocab[c] for c in self.symbols], dtype=np.int64)
-        self.closed = np.array([self.vocab[c + self.end] for c in self.symbols], dtype=np.int64)
-        keys = np.array([(a << 20) | b for a, b in self.merge], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair = np.append(keys[order], np.iinfo(np.int64).max)
-        values = np.array(list(self.merge.values()), dtype=np.int64)[order]
-        self.rank, self.made = np.append(values[:, 0], -1), np.append(values[:, 1], -1)
-        self.open_ids = {t: k for t, k in self.vocab.items() if not t.endswith(self.end)}
-        self.closed_ids = {t.removesuffix(self.end): k for t, k in self.vocab.items() if t.endswith(self.end)}
-        self.longest = max(map(len, (*self.open_ids, *self.closed_ids)))
-        self.made_by: dict[int, tuple[int, int, int]] = {}  # rank and parts
-        for (a, b), (k, t) in self.merge.items():
-            self.made_by.setdefault(t, (k, a, b))
+        self.open = np.array([vocab[c] for c in self.symbols], dtype=np.int64)
+        self.closed = np.array([vocab[c + self.end] for c in self.symbols], dtype=np.int64)
+        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        rows = np.array([((vocab[a] << 20) | vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(merges)], dtype=np.int64)
+        rows = rows[np.argsort(rows[:, 0])]
+        self.pair, self.rank, self.made = np.append(rows[:, 0], np.iinfo(np.int64).max), np.append(rows[:, 1], -1), np.append(rows[:, 2], -1)
         self._apart: dict[int, bool] = {}  # by both tokens
         self._state: tuple[str, list[int], list[int], list[int]] = ("", [-1], [0], [])  # of the last piece
-        self.ids, self.deltas = Payloads("<u4", remember), Payloads("int8", remember)
+        self.ids, self.deltas = Payloads("<u4", remember // 4), Payloads("int8", remember)  # ids are learnt faster
+
+    # What only counts at prefixes need
+
+    @cached_property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and result of each merge, by its two parts."""
+        pairs = zip((self.pair[:-1] >> 20).tolist(), (self.pair[:-1] & 0xFFFFF).tolist(), strict=True)
+        return dict(zip(pairs, zip(self.rank[:-1].tolist(), self.made[:-1].tolist(), strict=True), strict=True))
+
+    @cached_property
+    def made_by(self) -> dict[int, tuple[int, int, int]]:
+        """Rank and parts of the first merge that makes a token."""
+        found: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (k, t) in self.merge.items():
+            found[t] = min(found.get(t, (k, a, b)), (k, a, b))
+        return found
+
+    @cached_property
+    def _ids(self) -> tuple[dict[str, int], dict[str, int]]:
+        with open(self.path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        return {t: k for t, k in vocab.items() if not t.endswith(self.end)}, {t.removesuffix(self.end): k for t, k in vocab.items() if t.endswith(self.end)}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(max(map(len, ids)) for ids in self._ids)
 
     # Cutting
 
@@ -254,7 +272,7 @@ class WordBpe:
         token and its count only, and each follows from those of shorter prefixes.
         """
         text = "".join([self.symbols[b] for b in piece])
-        opened_as, closed_as, longest, known, apart = self.open_ids, self.closed_ids, self.longest, self._apart, self.apart
+        (opened_as, closed_as), longest, known, apart = self._ids, self.longest, self._apart, self.apart
         before, last, count, out = self._state
         same = len(os.path.commonprefix((before, text)))
         last, count, out = last[: same + 1], count[: same + 1], out[:same]
