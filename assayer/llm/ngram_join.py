@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.llm.components import components
+from assayer.llm.ship import frugal
 from assayer.llm.storage import Scratch
 from assayer.llm.text import BY_SPACE, distinct, shingles, tokens
 
 SKETCH_BITS, BLOCKS = 20, 64
-RANGES = 16  # of hashes, whose counts the suffix filter compares
+WORDS = 8  # of 64 bits: ranges of hashes, whose counts the suffix filter compares by their parity
 _U = np.uint64
 
 
@@ -32,32 +33,42 @@ def sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield distinct(*shingles(value, bounds, width))
 
 
+def odd_ranges(value: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each row `WORDS` numbers of 64 bits: the parity of its count of hashes in each range of the lowest bits."""
+    ranges, out = 64 * WORDS, []
+    for first in range(0, len(bounds) - 1, 512):
+        ends = bounds[first : first + 513]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        # The sketch's bits and the ranges' bits are different ones.
+        counts = np.bincount(row * ranges + (value[ends[0] : ends[-1]] & _U(ranges - 1)).astype(np.int64), minlength=(len(ends) - 1) * ranges)
+        out += list(np.packbits((counts & 1).astype(np.uint8).reshape(-1, ranges), axis=1).view(np.int64))
+    return out
+
+
 def summaries(docs: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, np.ndarray]:
     """One pass: `id, n, digest, profile` of each document, and how frequent n-grams are, by buckets of their hashes.
 
-    `digest` is a 128-bit hash of the set, `profile` packs the counts of its hashes in 16 ranges, modulo 16 each.
+    `digest` is a 128-bit hash of the set, `profile` holds a bit for each of 512 ranges of hashes: whether it has an odd number of them.
     The frequencies are sums over all documents in 2**20 buckets, given as levels on a logarithmic scale in one
     byte each: a table of a fixed size at any number of documents.
     """
 
+    @frugal
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             n, digest, profile = [], [], []
             for value, bounds in sets(batch.column(1), width):
                 counts += np.bincount((value >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                # The sketch's bits and the ranges' bits are different ones.
-                by_range = np.bincount(row * RANGES + (value & _U(RANGES - 1)).astype(np.int64), minlength=(len(bounds) - 1) * RANGES).reshape(-1, RANGES)
-                profile.append(((by_range & 15).astype(np.uint64) << (np.arange(RANGES, dtype=np.uint64) * _U(4))).sum(axis=1, dtype=np.uint64).view(np.int64))
+                profile += odd_ranges(value, bounds)
                 n.append(np.diff(bounds))
                 digest += [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             none = np.zeros(0, np.int64)
-            yield _summary(batch.column(0), np.concatenate([*n, none]), digest, np.concatenate([*profile, none]), None, None)
+            yield _summary(batch.column(0), np.concatenate([*n, none]), digest, profile, None, None)
         each = (1 << SKETCH_BITS) // BLOCKS
         yield _summary(pa.nulls(BLOCKS, pa.int64()), None, None, None, range(BLOCKS), [zlib.compress(counts[k * each : (k + 1) * each].astype("<i4").tobytes(), 1) for k in range(BLOCKS)])
 
-    kept = scratch.keep(docs.mapInArrow(summarise, "id bigint, n bigint, digest binary, profile bigint, block int, counts binary"), "summaries")
+    kept = scratch.keep(docs.mapInArrow(summarise, "id bigint, n bigint, digest binary, profile array<bigint>, block int, counts binary"), "summaries")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -80,7 +91,7 @@ def _summary(ids, n, digest, profile, block, counts) -> pa.RecordBatch:
     size = len(ids)
     fill = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(list(x) if isinstance(x, range) else x, kind)
     return pa.RecordBatch.from_arrays(
-        [ids, fill(n, pa.int64()), fill(digest, pa.binary()), fill(profile, pa.int64()), fill(block, pa.int32()), fill(counts, pa.binary())], ["id", "n", "digest", "profile", "block", "counts"]
+        [ids, fill(n, pa.int64()), fill(digest, pa.binary()), fill(profile, pa.list_(pa.int64())), fill(block, pa.int32()), fill(counts, pa.binary())], ["id", "n", "digest", "profile", "block", "counts"]
     )
 
 
@@ -88,6 +99,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, width: int, percent: int) -> Da
     """`id, n, prefix`: the n-grams, rarest first, of which a set that is similar must hold one."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
@@ -118,18 +130,20 @@ def may_link(x: str, y: str, percent: int):
     return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (F.least(n_x - p_x, n_y - p_y) >= least_overlap(n_x, n_y, percent))
 
 
-def suffix_filter(percent: int):
-    """By ranges of hashes two sets differ in as many n-grams as their counts do; counts modulo 16 give a lower bound of that."""
-    apart = F.lit(0)
-    for k in range(0, 4 * RANGES, 4):
-        d = F.abs(F.shiftright("profile_a", k).bitwiseAND(15) - F.shiftright("profile_b", k).bitwiseAND(15))
-        apart = apart + F.least(d, 16 - d)
-    return (F.col("n_a") + F.col("n_b") - apart) / 2 >= least_overlap(F.col("n_a"), F.col("n_b"), percent)
+def apart(x, y):
+    """Two sets differ in as many n-grams, at least, as ranges of hashes of which one has an odd and the other an even number."""
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(WORDS)), F.lit(0))
+
+
+def suffix_filter(n_x, n_y, difference, percent: int):
+    return (n_x + n_y - difference) / 2 >= least_overlap(n_x, n_y, percent)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact sets are similar."""
+    """The pairs (a, b) whose exact sets are similar. Texts of `b` are fetched first, so a text with many partners belongs in `a`:
+    it is copied into rows that go straight to the check, and a skewed join on it can be split."""
 
+    @frugal
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -141,7 +155,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
 def _rows(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -150,14 +164,13 @@ def _rows(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
             yield value[a:b], b - a
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, rounds: int = 3, tries: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row: the components of the links of at least `percent` % similarity.
 
     Documents of equal sets are one node, the smallest of their ids. Nodes whose prefixes share an n-gram are
-    candidates. In each of `rounds` rounds every node is verified against one candidate at most, of those that
-    stand for their lists, and links join components; a list within one component needs no more pairs. What is left
-    is verified pair by pair across components, each pair once, so that no link between components is missed. Sets of
-    near copies thus cost about a pair for each copy, not all pairs.
+    candidates. In a round every node is verified against `tries` at most of those that stand for its lists, and links join
+    components; a list within one component needs no more pairs. Rounds go on while they find links, up to `rounds`. What is left is verified pair by pair across components, each pair once, so that no link between
+    components is missed at any number of rounds. Sets of near copies thus cost a few pairs for each copy, not all pairs.
 
     Words are runs of bytes other than ASCII white space, with A-Z in lower case. Texts of fewer than `width` words are
     one shingle; null and empty texts have none and link with nothing. Rows with a null id get null components. Repeated rows
@@ -168,49 +181,63 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
     summary, level = summaries(texts, scratch, width)
     nodes = scratch.keep(summary.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("profile").alias("profile")), "nodes")
     # Prefixes of nodes only: copies of a set stand behind their node.
-    own = prefixes(texts.where("id is not null"), level, width, percent).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", F.struct("id", "n", "pos").alias("x"))
-    # A window finds the lists of two members or more in the one exchange that deals them out; long lists spill.
-    in_list = Window.partitionBy("gram")
-    many = postings.withColumns({"lo": F.min("x.id").over(in_list), "hi": F.max("x.id").over(in_list)}).where("lo < hi")
-    lists = scratch.keep(many.select("gram", "x", F.col("x.id").alias("root")), "lists")
-    some = scratch.keep(texts.join(lists.select("x.id").distinct().hint("merge"), "id", "left_semi"), "texts")
+    own = scratch.keep(prefixes(texts.where("id is not null"), level, width, percent).join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), "prefixes")
+    # Counts by n-gram are summed where they are; the lists of two members or more then come by a join, which splits frequent n-grams.
+    many = scratch.keep(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
+    postings = own.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
+    lists = scratch.keep(postings.join(many, "gram", "left_semi").select("gram", "id", "n", "pos", F.col("id").alias("root")), "lists")
+    scratch.drop(own, many)
+    some = scratch.keep(texts.join(lists.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     profiles = nodes.select("node", "profile")
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        pairs = candidates.join(profiles.withColumnsRenamed({"node": "a", "profile": "profile_a"}), "a").join(profiles.withColumnsRenamed({"node": "b", "profile": "profile_b"}), "b")
-        return verify(pairs.where(suffix_filter(percent)), some, width, percent)
+    def profiled(pairs: DataFrame) -> DataFrame:
+        sides = [profiles.withColumnsRenamed({"node": side, "profile": f"profile_{side}"}) for side in "ab"]
+        return pairs.join(sides[1], "b").join(sides[0], "a").withColumn("apart", apart(F.col("profile_a"), F.col("profile_b"))).where(suffix_filter(F.col("n_a"), F.col("n_b"), F.col("apart"), percent))
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = links
+    links = tried = spark.createDataFrame([], "a bigint, b bigint")
+    spent = [some]
+    roots = components(links, scratch)
+    found = 0
     for k in range(rounds):
-        # Each list's member of smallest (then largest) id stands for it.
-        heads = lists.groupBy("gram").agg((F.max if k % 2 else F.min)(F.struct("x", "root")).alias("h")).select("gram", F.col("h.x").alias("y"), F.col("h.root").alias("y_root"))
-        pairs = lists.join(heads, "gram").where("root <> y_root").where(may_link("x", "y", percent))
-        # Of a node's candidates the one that shares most of its lists; counted before anything is fetched.
-        counted = pairs.groupBy(F.col("x.id").alias("b"), F.col("y.id").alias("a")).agg(F.count("*").alias("c"), F.max("x.n").alias("n_b"), F.max("y.n").alias("n_a"))
-        best = counted.groupBy("b").agg(F.max(F.struct("c", F.col("a").alias("a"), "n_a", "n_b")).alias("m")).select("b", "m.a", "m.n_a", "m.n_b")
-        best = scratch.keep(best.join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = tried.unionByName(best.select("a", "b"))
-        links = scratch.keep(links.unionByName(verified(best)), "links")
+        # Any member may stand for its list, another one in each round: members of large components mostly, and so most nodes soon meet a partner.
+        heads = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("id", "gram", F.lit(k)).alias("by"), "id", "n", "pos", "root")).alias("y"))
+        pairs = lists.join(heads.select("gram", "y"), "gram").select(F.struct("id", "n", "pos", "root").alias("x"), "y").where(F.col("x.root") != F.col("y.root")).where(may_link("x", "y", percent))
+        pairs = pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")).distinct()
+        # Of a node's candidates those that may differ least; texts are fetched for these only.
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.col("apart") / (F.col("n_a") + F.col("n_b")), "a"))
+        best = profiled(pairs.join(tried, ["a", "b"], "left_anti")).select("a", "b", place.alias("place")).where(F.col("place") <= tries)
+        best = scratch.keep(best.select("a", "b"), "candidates")
+        spent.append(best)
+        # A pair may come up again the other way round.
+        tried = tried.unionByName(best.select("a", "b")).unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links = scratch.keep(links.unionByName(verify(best, some, width, percent)), "links")
+        spent.append(links)
+        before, found = found, links.count()
+        if found == before:
+            break
         roots = components(links, scratch)
-        lists = scratch.keep(_across(lists, roots), "lists")
-
-    # All pairs that are left: in one list, in different components.
-    left, right = lists.alias("l"), lists.alias("r")
-    pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.x.id") < F.col("r.x.id")) & (F.col("l.root") != F.col("r.root")) & may_link("l.x", "r.x", percent))
-    pairs = pairs.select(F.col("l.x.id").alias("a"), F.col("r.x.id").alias("b"), F.col("l.x.n").alias("n_a"), F.col("r.x.n").alias("n_b")).distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.keep(links.unionByName(verified(pairs.join(seen, ["a", "b"], "left_anti"))), "links")
-    roots = components(links, scratch)
-
-    scratch.drop(lists, some)
+        old, lists = lists, scratch.keep(_across(lists, roots), "lists")
+        scratch.drop(old)
+        if lists.isEmpty():
+            break
+
+    # All pairs that are left: in one list, in different components, and by their profiles near enough.
+    shown = scratch.keep(lists.join(profiles, lists["id"] == profiles["node"]).drop("node"), "profiles")
+    left, right = shown.alias("l"), shown.alias("r")
+    near = suffix_filter(F.col("l.n"), F.col("r.n"), apart(F.col("l.profile"), F.col("r.profile")), percent)
+    pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & may_link("l", "r", percent) & near)
+    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    rest = scratch.keep(verify(pairs.join(tried, ["a", "b"], "left_anti"), some, width, percent), "links")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest), scratch)
+
+    scratch.drop(lists, shown, rest, *spent)
     placed = nodes.join(roots, nodes["node"] == roots["id"], "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return summary.join(placed, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _across(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with each member's."""
-    rooted = lists.select("gram", "x", F.col("x.id").alias("id")).join(roots, "id", "left").select("gram", "x", F.coalesce("root", "id").alias("root"))
+    rooted = lists.drop("root").join(roots, "id", "left").select("gram", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     split = rooted.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     return rooted.join(split, "gram", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,13 +20,17 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a folder of our own only where none is set (tests, one machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """The cluster's `spark.checkpoint.dir`; a folder of our own only where none is set and all runs on one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _own_dir(spark.sparkContext.applicationId)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Named Parquet tables of one operator run. `drop` removes those that no later plan reads."""
+    """Named Parquet tables of one operator run. `drop` removes those that no later plan reads, the application's end all others."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
@@ -37,12 +42,17 @@ class Scratch:
         self.count += 1
         at = f"{self.root}/{self.count:03d}-{name}"
         df.write.option("compression", "zstd").options(**options).parquet(at)
+        if self.count == 1:
+            files, path = self._files(self.root)
+            files.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            files = table.inputFiles()
-            if files:
-                jvm = self.spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if found := table.inputFiles():
+                files, path = self._files(found[0].rsplit("/", 1)[0])
+                files.delete(path, True)
+
+    def _files(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
