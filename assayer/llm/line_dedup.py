@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.ship import frugal
 from assayer.llm.storage import Scratch
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -39,9 +41,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, least_chars: int = 40, lea
     """
     rows = line_hashes(docs, least_chars, doc_id, text)
     # The complement of the document's id puts the largest first while all keys ascend.
-    rows = rows.select("h", "g", F.bitwise_not("doc").alias("back"), "pos")
+    # They are written first, as finding the ranges reads them once more.
+    rows = scratch.keep(rows.select("h", "g", F.bitwise_not("doc").alias("back"), "pos"), "hashes")
     ranged = rows.repartitionByRange("h", "g", "back").sortWithinPartitions("h", "g", "back", "pos")
 
+    @frugal
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, first = None, True
         for batch in batches:
@@ -78,7 +82,8 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, least_chars: int = 40, lea
 
     found = scratch.keep(ranged.mapInArrow(stream, "kind int, h bigint, g int, doc bigint, n bigint"), "lines")
     counts = found.where("kind = 2").groupBy("h", "g").agg(F.sum("n").alias("n_docs"), F.max("doc").alias("top"))
-    counts = F.broadcast(counts.where(F.col("n_docs") >= least_docs))  # at most two hashes for each task
+    counts = scratch.keep(counts.where(F.col("n_docs") >= least_docs), "counts")  # at most two hashes for each task
+    scratch.drop(rows)
     undecided = found.where("kind = 1").join(counts, ["h", "g"]).where("doc <> top")
     return found.where("kind = 0").select("doc", F.col("n").alias("pos")).unionByName(undecided.select("doc", F.col("n").alias("pos")))
 
@@ -140,6 +145,7 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, least_chars: int = 40, least
     Other columns are not read.
     """
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts, maps = [], [], []
@@ -156,17 +162,33 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, least_chars: int = 40, least
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the dropped lines, all columns kept; texts with nothing dropped, and null texts, are as they were."""
+    """`docs` without the dropped lines, all columns kept; texts with nothing dropped, and null texts, are as they were.
 
+    Rows with a null id keep all their lines; repeated rows of a document lose the same ones; an empty table stays empty.
+    """
+
+    @frugal
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            bits = batch.column(batch.num_columns - 1)
-            texts = [t if b is None or t is None else "\n".join(keep_lines(t, b)) for t, b in zip(batch.column(at).to_pylist(), bits.to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    key, bits = (next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("key", "bits"))
-    found = bitmaps.select(F.col("doc_id").alias(key), F.col("keep_bitmap").alias(bits)).hint("shuffle_hash")
-    joined = docs.join(found, docs[doc_id] == found[key], "left").select(*[docs[c] for c in docs.columns], found[bits])
-    return joined.mapInArrow(drop, docs.schema)
+            texts, bits = batch.column(at), batch.column(batch.num_columns - 1)
+            cut = pc.and_(texts.is_valid(), bits.is_valid())
+            if cut.true_count:
+                less = ["\n".join(keep_lines(t.as_py(), b.as_py())) for t, b in zip(texts.filter(cut), bits.filter(cut), strict=True)]
+                texts = pc.replace_with_mask(texts, cut, pa.array(less, texts.type))
+            yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(batch.num_columns - 1)], batch.schema.names[:-1])
+
+    return with_bitmaps(docs, bitmaps.select("doc_id", "keep_bitmap"), doc_id).mapInArrow(drop, docs.schema)
+
+
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """`docs` and, after its own columns, those of `bitmaps` but the id, under free names; null where a document has none.
+
+    Rows without an id meet no bitmap; they are dealt out by a hash of the row, not all to one task.
+    """
+    taken = {c.lower() for c in docs.columns}
+    free = {c: next(n for n in (f"__{c}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for c in ["salt", *bitmaps.columns]}
+    found = bitmaps.withColumnsRenamed(free).withColumn(free["salt"], F.lit(0).cast("bigint")).hint("shuffle_hash")
+    salt = F.when(docs[doc_id].isNull(), F.xxhash64(*[docs[c] for c, kind in docs.dtypes if kind in ("string", "bigint", "int")])).otherwise(F.lit(0).cast("bigint"))
+    joined = docs.join(found, (docs[doc_id] == found[free["doc_id"]]) & (salt == found[free["salt"]]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], *[found[free[c]].alias(c if c.lower() not in taken else free[c]) for c in bitmaps.columns if c != "doc_id"])

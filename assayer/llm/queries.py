@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import chat, decontam, line_dedup, ngram_join, packing, quality, sharding, telephony, tokens, toxicity
-from assayer.llm.ship import ship
+from assayer.llm.ship import frugal, ship
 from assayer.llm.storage import Scratch
 
 LIMIT = 2048
@@ -45,6 +45,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = line_dedup.keep_bitmaps(docs, Scratch(spark, "line-dedup"))
 
+    @frugal
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha = [], []
@@ -53,7 +54,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256("\n".join(line_dedup.keep_lines(text or "", bitmap)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    joined = docs.join(bitmaps.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep_bitmap")
+    joined = line_dedup.with_bitmaps(docs, bitmaps).select("doc_id", "text", F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep_bitmap")
     return joined.mapInArrow(digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
