@@ -37,8 +37,8 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.binary_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), LIMIT, with_tokens=False)
-    return pieces.drop("tokens", "bucket")
+    pieces = packing.bucketed(packing.binary_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), LIMIT))
+    return Scratch(spark, "packing").keep(pieces, "buckets").drop("tokens")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
