@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|{role}|>\\n", "<|end|>\\n"
+BEFORE, AFTER, END = "<|", "|>\n", "<|end|>\n"  # around a role, and after a text
+
+
+def turn_of(turn: str = "turn", role: str = "role", text: str = "text") -> Column:
+    """A row as (turn, role, text). A null role is "user" and a null text is empty."""
+    return F.struct(F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def turns(conversations: DataFrame, by: str, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: `by` and its turns in order as an array of (turn, role, text).
 
-    Repeated rows count once; turns of one number stand in the order of role and text. A null role is "user" and a
-    null text is empty. Rows with a null conversation or turn are left out: they belong nowhere.
+    Repeated rows count once; turns of one number stand in the order of role and text. Rows with a null
+    conversation or turn are left out: they belong nowhere.
     """
     rows = conversations.where(F.col(by).isNotNull() & F.col(turn).isNotNull())
-    one = F.struct(F.col(turn).cast("bigint").alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.groupBy(F.col(by).alias("conv_id")).agg(F.array_sort(F.collect_set(one)).alias("turns"))
+    return rows.groupBy(F.col(by).alias("conv_id")).agg(F.array_sort(F.collect_set(turn_of(turn, role, text))).alias("turns"))
 
 
 def render(turns: Column) -> Column:
     """Each turn as a line with its role, its text and an end mark."""
-    return F.concat_ws("", F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n"))))
+    return F.concat_ws("", F.transform(turns, lambda t: F.concat(F.lit(BEFORE), t["role"], F.lit(AFTER), t["text"], F.lit(END))))
 
 
 def trained_spans(turns: Column) -> Column:
     """Start and end, in code points of the rendered completion, of what is trained on: the assistant's texts and their end marks."""
-    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + F.lit(13)  # noqa: E731  <|role|> and line end: 5, <|end|> and line end: 8
-    start = lambda a, t: a["at"] + F.length(t["role"]) + F.lit(5)
+    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + F.lit(len(BEFORE + AFTER + END))
+    start = lambda a, t: a["at"] + F.length(t["role"]) + F.lit(len(BEFORE + AFTER))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(a, t):
@@ -64,8 +68,12 @@ def preferences(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def paired_by_number(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected), for tables that mark no preference. A lone one has a null partner."""
-    all_turns = turns(conversations, "conv_id").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("bigint"))
-    is_chosen = F.col("conv_id") == F.col("pair_id") * 2
-    # A pair has two conversations at most.
-    return all_turns.groupBy("pair_id").agg(F.max(F.when(is_chosen, F.col("turns"))).alias("chosen"), F.max(F.when(~is_chosen, F.col("turns"))).alias("rejected"))
+    """Conversations 2k (chosen) and 2k + 1 (rejected), for tables that mark no preference; a side without rows is empty.
+
+    Halves are taken by shifting bits, so ids of any size keep their pair. Repeated rows count once; rows with a null
+    conversation or turn are left out. Both sides come out of one aggregation: a pair's turns are what is gathered.
+    """
+    rows = conversations.where("conv_id is not null and turn is not null").withColumn("conv_id", F.col("conv_id").cast("bigint"))
+    even = F.col("conv_id").bitwiseAND(1) == 0
+    side = lambda wanted: F.array_sort(F.collect_set(F.when(wanted, turn_of())))
+    return rows.groupBy(F.shiftright("conv_id", 1).alias("pair_id")).agg(side(even).alias("chosen"), side(~even).alias("rejected"))

@@ -131,7 +131,7 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM marked GROUP BY doc_id""",
     "op7_chat_preferences": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
-), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS is_chosen FROM t
+), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn, (conv_id - (conv_id & 1)) // 2 AS pair_id, conv_id & 1 = 0 AS is_chosen FROM t
 ), size AS (SELECT pair_id, max(rn) FILTER (WHERE is_chosen) AS c, max(rn) FILTER (WHERE NOT is_chosen) AS r FROM n GROUP BY pair_id
 ), differ AS (SELECT a.pair_id, min(a.rn) AS rn FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.rn = b.rn AND a.is_chosen AND NOT b.is_chosen WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id
 ), shared AS (SELECT pair_id, coalesce(differ.rn - 1, least(coalesce(c, 0), coalesce(r, 0))) AS k FROM size LEFT JOIN differ USING (pair_id)
