@@ -8,97 +8,104 @@ from pyspark.sql.window import Window
 
 from assayer.llm.storage import Scratch
 
-BINS = 12  # bits of a coordinate that one pass settles
-BITS = 48  # of a coordinate: 24 for the value, 24 that part equal values
+BINS = 16  # bits of a coordinate that one pass settles
+VALUE_BITS = 12  # of a coordinate; the other 20 part equal values
+DIMENSIONS = ("length", "lang", "source")
 
 
-def dimensions(source: str = "source", lang: str = "lang") -> dict[str, Column]:
-    """Metadata as whole numbers below 2**24: length on a logarithmic scale, and language and source by hash."""
-    return {
-        "length": F.least(F.lit(2**24 - 1), (F.log2(F.col("size").cast("double")) * 2**18).cast("bigint")),
-        "lang": F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(lang), F.lit(""))), 40),
-        "source": F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(source), F.lit(""))), 40),
-    }
+def coordinates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """`doc_id, size, text_crc32, part` and `c`, a row's place in each dimension as a whole number below 2**32.
 
-
-def kd_shards(docs: DataFrame, scratch: Scratch, shards: int = 8, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """Deal documents to leaves of a k-d tree: `doc_id, size, text_crc32, shard, block`.
-
-    Each node is split along the dimension in which its documents are widest, at the weighted median of their
-    sizes, so that the halves (or the parts in proportion to their number of shards) hold nearly equal bytes.
-    `target_bytes` instead of `shards` splits until the leaves hold about that many. A coordinate is the value
-    followed by bits of a hash of the id and text, so equal values (one source may hold a third of all rows) are split
-    as evenly as others. Medians come from histograms of 2**12 bins in turn, one aggregation for all nodes of a
-    level; only node ranges and at most 2**12 bins a node reach the driver. Sizes are UTF-8 bytes plus 1; null
-    texts are empty, null metadata one value of its own; repeated rows are dealt out like others.
+    Length counts on a logarithmic scale, language and source by hash. The lower 20 bits, `part`, come from a hash of the row and
+    of a number of its own, so that equal values, and repeated rows too, stand at many places. The numbers are fixed once the
+    result is written.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__t"), F.col(source).alias("source"), F.col(lang).alias("lang"))
     slim = slim.select("doc_id", "source", "lang", (F.octet_length("__t").cast("bigint") + 1).alias("size"), F.crc32(F.encode("__t", "UTF-8")).alias("text_crc32"))
-    slim = slim.withColumn("part", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 40))
-    dims = dimensions("source", "lang")
-    slim = scratch.keep(slim.select("doc_id", "size", "text_crc32", "part", *[((c * 2**24) + F.col("part")).alias(f"d_{k}") for k, c in dims.items()]), "slim")
-    total = slim.agg(F.sum("size")).first()[0] or 0
+    spare = BINS * 2 - VALUE_BITS
+    slim = slim.withColumn("part", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), 64 - spare))
+    by_hash = lambda c: F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), 64 - VALUE_BITS)
+    values = {"length": F.least(F.lit((1 << VALUE_BITS) - 1), (F.log2(F.col("size").cast("double")) * 64).cast("bigint")), "lang": by_hash("lang"), "source": by_hash("source")}
+    return slim.select("doc_id", "size", "text_crc32", "part", F.array(*[F.shiftleft(values[d].cast("bigint"), spare) + F.col("part") for d in DIMENSIONS]).alias("c"))
+
+
+def _first_past(bins: DataFrame, at: str) -> DataFrame:
+    """Of each node's bins in order the first with which the running sum of `b` passes `goal`: its `at`, and what of the goal is left there."""
+    running = Window.partitionBy("first").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = bins.withColumn("run", F.sum("b").over(running)).where(F.col("run") > F.col("goal"))
+    return passed.groupBy("first").agg(F.min(F.struct(at, (F.col("goal") - F.col("run") + F.col("b")).alias("goal"))).alias("x"))
+
+
+def split_nodes(placed: DataFrame, scratch: Scratch, scale: list[float]) -> DataFrame:
+    """`first, dim, cut` for each node (`first`: its first shard, `m`: how many it has) with more than one shard.
+
+    `dim` is the dimension in which the node is widest: the variance of its bytes' places there, in proportion to the whole
+    table's (`scale`). `cut` is the weighted median: left of it lie as many bytes as the node's left shards should hold.
+    Two passes settle it, of 2**16 bins each; nodes and bins are tables, nothing is gathered on the driver.
+    """
+    open_ = placed.where("m > 1")
+    bins = open_.select("first", "m", "size", F.posexplode(F.transform("c", lambda c: F.shiftright(c, BINS))).alias("dim", "bin")).groupBy("first", "m", "dim", "bin").agg(F.sum("size").alias("b"))
+    bins = scratch.keep(bins, "bins")
+    widest = _spreads(bins).withColumn("wide", F.round(F.col("variance") / F.get(F.array(*[F.lit(x) for x in scale]), F.col("dim")), 9))
+    widest = widest.groupBy("first", "m").agg(F.max(F.struct("wide", (-F.col("dim")).alias("back"), "bytes")).alias("x"))
+    goal = (F.col("x.bytes").cast("decimal(38,0)") * F.floor(F.col("m") / 2) / F.col("m")).cast("bigint")
+    nodes = scratch.keep(widest.select("first", (-F.col("x.back")).alias("dim"), goal.alias("goal")), "nodes")
+    upper = _first_past(bins.join(nodes, ["first", "dim"]), "bin").select("first", F.col("x.bin").alias("bin"), F.col("x.goal").alias("goal"))
+    nodes = scratch.keep(nodes.drop("goal").join(upper, "first"), "nodes")
+    fine = open_.join(nodes, "first").withColumn("at", F.get("c", F.col("dim"))).where(F.shiftright("at", BINS) == F.col("bin"))
+    lower = _first_past(fine.groupBy("first", "goal", "at").agg(F.sum("size").alias("b")), "at").select("first", F.col("x.at").alias("cut"))
+    return scratch.keep(nodes.select("first", "dim").join(lower, "first"), "cuts")
+
+
+def _spreads(bins: DataFrame) -> DataFrame:
+    """Bytes and the variance of their places, for each node and dimension."""
+    weight, at = F.col("b").cast("double"), F.col("bin") / F.lit(float(1 << BINS))
+    sums = bins.groupBy("first", "m", "dim").agg(F.sum("b").alias("bytes"), F.sum(weight * at).alias("one"), F.sum(weight * at * at).alias("two"))
+    return sums.withColumn("variance", F.col("two") / F.col("bytes") - (F.col("one") / F.col("bytes")) ** 2)
+
+
+def kd_shards(docs: DataFrame, scratch: Scratch, shards: int = 8, target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """Deal documents to leaves of a k-d tree: `doc_id, size, text_crc32, part, shard`.
+
+    Each node is split along the dimension in which it is widest, at the weighted median of its documents' sizes, so
+    that the halves (or the parts in proportion to their number of shards) hold nearly equal bytes. `target_bytes`
+    instead of `shards` splits until the leaves hold about that many. All nodes of a level are split at once, by tables of
+    nodes that are joined to the rows, so their number may grow with the data. Equal values (one source may hold a
+    third of all rows) are split as evenly as others, and so are repeated rows. Sizes are UTF-8 bytes plus 1; null texts are empty,
+    null metadata one value of its own, null ids stay null; an empty table has no shards.
+    """
+    placed = scratch.keep(coordinates(docs, doc_id, text, source, lang), "slim")
+    total = placed.agg(F.sum("size")).first()[0] or 0
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
-
-    tree = {0: (0, shards)}  # node: first shard, shards
-    splits: list[tuple[int, str, int, int, int]] = []  # node, dimension, cut, left child, right child
-    next_node = 1
-    while open_nodes := [n for n, (_, m) in tree.items() if m > 1]:
-        placed = slim.withColumn("node", _walk(splits)).where(F.col("node").isin(open_nodes))
-        stats = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.expr(f"max({c}) - min({c})").alias(c) for c in (f"d_{k}" for k in dims)]).collect()
-        goal = {}
-        for n in open_nodes:
-            row = next((r for r in stats if r["node"] == n), None)
-            widest = max((f"d_{k}" for k in dims), key=lambda c, row=row: (row[c], c)) if row else "d_length"
-            goal[n] = [widest, 0, (row["bytes"] if row else 0) * (tree[n][1] // 2) // tree[n][1]]  # dimension, settled bits, bytes still to the left
-        for settled in range(0, BITS, BINS):
-            shift = BITS - BINS - settled
-            coordinate = F.coalesce(*[F.when(F.col("node") == n, F.col(g[0])) for n, g in goal.items()])
-            within = F.coalesce(*[F.when(F.col("node") == n, F.shiftright(coordinate, shift + BINS) == g[1]) for n, g in goal.items()])
-            bins = placed.where(within).groupBy("node", F.shiftright(coordinate, shift).alias("bin")).agg(F.sum("size").alias("bytes")).collect()
-            for n, g in goal.items():
-                here = sorted((r["bin"], r["bytes"]) for r in bins if r["node"] == n)
-                g[1] <<= BINS
-                for value, size in here:
-                    g[1] = value
-                    if g[2] < size:
-                        break
-                    g[2] -= size
-        for n, (dim, cut, _) in goal.items():
-            first, m = tree.pop(n)
-            tree[next_node], tree[next_node + 1] = (first, m // 2), (first + m // 2, m - m // 2)
-            splits.append((n, dim, cut, next_node, next_node + 1))
-            next_node += 2
-    leaf = _walk(splits)
-    shard = F.coalesce(*[F.when(F.col("__leaf") == n, F.lit(first)) for n, (first, _) in tree.items()])
-    return slim.withColumn("__leaf", leaf).select("doc_id", "size", "text_crc32", "part", shard.cast("int").alias("shard"))
-
-
-def _walk(splits: list[tuple[int, str, int, int, int]]) -> Column:
-    """The leaf that a row falls into: left if its coordinate is below the cut."""
-    children = {n: (dim, cut, left, right) for n, dim, cut, left, right in splits}
-
-    def down(n: int) -> Column:
-        if n not in children:
-            return F.lit(n)
-        dim, cut, left, right = children[n]
-        return F.when(F.col(dim) < cut, down(left)).otherwise(down(right))
-
-    return down(0)
+    placed = placed.withColumns({"first": F.lit(0).cast("bigint"), "m": F.lit(shards).cast("bigint")})
+    if shards > 1:
+        root = placed.select("first", "m", "size", F.posexplode(F.transform("c", lambda c: F.shiftright(c, BINS))).alias("dim", "bin")).groupBy("first", "m", "dim", "bin").agg(F.sum("size").alias("b"))
+        whole = {r["dim"]: r["variance"] for r in _spreads(root).collect()}  # one row a dimension
+        scale = [max(whole.get(k) or 0.0, 1e-12) for k in range(len(DIMENSIONS))]
+    for _ in range((shards - 1).bit_length()):
+        cuts = split_nodes(placed, scratch, scale)
+        moved = placed.join(cuts, "first", "left")
+        left, half = F.coalesce(F.get("c", F.col("dim")) < F.col("cut"), F.lit(True)), F.floor(F.col("m") / 2)
+        first = F.when((F.col("m") > 1) & ~left, F.col("first") + half).otherwise(F.col("first"))
+        m = F.when(F.col("m") > 1, F.when(left, half).otherwise(F.col("m") - half)).otherwise(F.col("m"))
+        old, placed = placed, scratch.keep(moved.select("doc_id", "size", "text_crc32", "part", "c", first.alias("first"), m.alias("m")), "placed")
+        scratch.drop(old)
+    return placed.select("doc_id", "size", "text_crc32", "part", F.col("first").cast("int").alias("shard"))
 
 
 def with_slots(sharded: DataFrame, scratch: Scratch, rows_a_block: int = 20_000) -> DataFrame:
     """Number the rows of each shard from 0 without a gap.
 
     Rows are numbered within blocks of a shard, by hash and of bounded size, and a block starts where the ones
-    before it end; the running sums are over blocks, not rows.
+    before it end; the running sums are over blocks, not rows. `part` deals repeated rows to many blocks, rows with a null id
+    too. An empty table stays empty.
     """
     sharded = scratch.keep(sharded, "sharded")
     blocks = max(1, -(-sharded.count() // rows_a_block))
-    rows = sharded.withColumn("block", (F.xxhash64("part", "doc_id") % blocks + blocks) % blocks)
+    rows = sharded.withColumn("block", F.pmod(F.xxhash64("part", "doc_id"), F.lit(blocks)))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    starts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")) - 1
-    joined = rows.withColumn("__place", place).join(starts.select("shard", "block", F.coalesce("first", F.lit(0)).alias("first")), ["shard", "block"])
-    return joined.withColumn("slot", (F.col("first") + F.col("__place")).cast("bigint")).drop("first", "__place", "block", "part")
+    joined = rows.withColumn("__place", place).join(starts.select("shard", "block", F.coalesce("before", F.lit(0)).alias("before")), ["shard", "block"])
+    return joined.withColumn("slot", (F.col("before") + F.col("__place")).cast("bigint")).drop("before", "__place", "block", "part")
