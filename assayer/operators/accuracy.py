@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegerType, NumericType, StringType
 
 from assayer.operators.align import quoted
 from assayer.operators.diff import bag_counts, bag_sample
@@ -15,11 +15,29 @@ from assayer.operators.diff import bag_counts, bag_sample
 SAMPLE = 5
 
 
+def _digits(column: Column) -> Column:
+    """A decimal's digits without zeros at the end."""
+    text = column.cast("string")
+    return F.when(column == 0, F.lit("0")).when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def _number(column: Column, kind: DataType) -> Column:
+    """Whole numbers and decimals exactly, at any size; doubles as the shortest digits that mean them. 1 and 1.0 are one."""
+    if isinstance(kind, DecimalType):
+        return _digits(column)
+    if not isinstance(kind, (FloatType, DoubleType)):
+        return column.cast("string")
+    value = column.cast("double")
+    near = value.try_cast("decimal(38,18)")
+    whole = (F.abs(value) < F.lit(9e18)) & (value == F.rint(value))
+    return F.when(whole, value.try_cast("bigint").cast("string")).when(near.cast("double") == value, _digits(near)).otherwise(value.cast("string"))
+
+
 def comparable(column: Column, kind: DataType) -> Column:
     """A text by which values are equal as in a loosely typed language: 1, 1.0 and true are one; texts equal texts only."""
     if isinstance(kind, (NumericType, BooleanType)):
-        value = column.cast("int") if isinstance(kind, BooleanType) else column
-        return F.concat(F.lit("n"), (value.cast("double") + F.lit(0.0)).cast("string"))
+        value, kind = (column.cast("int"), IntegerType()) if isinstance(kind, BooleanType) else (column, kind)
+        return F.concat(F.lit("n"), _number(value, kind))
     if isinstance(kind, StringType):
         return F.concat(F.lit("s"), column)
     return F.concat(F.lit("o"), F.to_json(F.struct(column.alias("v"))) if column is not None else None)
@@ -37,9 +55,13 @@ def equal_bags(a: DataFrame, b: DataFrame, distinct: bool = False) -> bool:
     return row["missing"] == 0 and row["extra"] == 0
 
 
-def with_index(df: DataFrame) -> DataFrame:
-    """Rows with their place in the frame's order: the place within a partition, and where that partition starts."""
+def with_index(df: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """Rows with their place in the frame's order: the place within a partition, and where that partition starts.
+
+    What is kept between the two passes is added to `held`, for the caller to release.
+    """
     marked = df.withColumn("__id", F.monotonically_increasing_id()).persist()
+    held.append(marked)
     part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["p"], r["count"]) for r in marked.groupBy(part.alias("p")).count().collect())  # one row a partition
     starts, total = [], 0
@@ -52,12 +74,17 @@ def with_index(df: DataFrame) -> DataFrame:
 
 def equal_lists(a: DataFrame, b: DataFrame) -> bool:
     """Row by row in the frames' order."""
-    left, right = with_index(a), with_index(b).toDF(*[f"r_{c}" for c in b.columns], "__at_r")
-    joined = left.join(right, F.col("__at") == F.col("__at_r"), "full_outer")
-    same = F.col("__at").isNotNull() & F.col("__at_r").isNotNull()
-    for c in a.columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    return joined.where(~same).isEmpty()
+    held: list[DataFrame] = []
+    try:
+        left, right = with_index(a, held), with_index(b, held).toDF(*[f"r_{c}" for c in b.columns], "__at_r")
+        joined = left.join(right, F.col("__at") == F.col("__at_r"), "full_outer")
+        same = F.col("__at").isNotNull() & F.col("__at_r").isNotNull()
+        for c in a.columns:
+            same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+        return joined.where(~same).isEmpty()
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def ordered(spark, sql: str) -> bool:
@@ -72,10 +99,10 @@ def ordered(spark, sql: str) -> bool:
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """For each column a number that only columns of equal bags of values share (but for hash collisions)."""
-    cells = df.select(F.posexplode(F.array(*[quoted(c) for c in df.columns])).alias("k", "v"))
-    counts = cells.groupBy("k", "v").count()
-    return counts.groupBy("k").agg(F.sum(F.xxhash64("v", "count").cast("decimal(20,0)")).alias("fingerprint")).orderBy("k")
+    """For each column `k` a number that only columns of equal bags of values share (but for hash collisions): the sum of the hashes
+    of its values, nulls counted too. One aggregation with partial sums; no cell leaves its task."""
+    sums = [F.sum(F.xxhash64(quoted(c), quoted(c).isNull()).cast("decimal(20,0)")) for c in df.columns]
+    return df.agg(F.count("*").alias("n"), F.array(*sums).alias("f")).select("n", F.posexplode("f").alias("k", "fingerprint"))
 
 
 def bijections(gold: list, model: list) -> Iterator[list[int]]:
@@ -94,12 +121,15 @@ def bijections(gold: list, model: list) -> Iterator[list[int]]:
 
 def equal_by_value(gold: DataFrame, model: DataFrame, compare) -> bool:
     """Whether some order of the model's columns makes the results equal. Two empty results are; an empty and another are not."""
-    gold_empty, model_empty = gold.isEmpty(), model.isEmpty()
-    if gold_empty or model_empty:
-        return gold_empty and model_empty
-    if len(gold.columns) != len(model.columns):
+    both = fingerprints(gold).withColumn("gold", F.lit(True)).unionByName(fingerprints(model).withColumn("gold", F.lit(False)))
+    found = sorted(both.collect(), key=lambda r: r["k"])  # a row for each column
+    g, m = ([r for r in found if r["gold"] == side] for side in (True, False))
+    sizes = g[0]["n"], m[0]["n"]
+    if not all(sizes):
+        return not any(sizes)
+    if len(g) != len(m):
         return False
-    g, m = ([r["fingerprint"] for r in fingerprints(d).collect()] for d in (gold, model))
+    g, m = ([r["fingerprint"] for r in side] for side in (g, m))
     return any(compare(gold, model.select(*[F.col(f"p{j}").alias(f"p{k}") for k, j in enumerate(order)])) for order in bijections(g, m))
 
 

@@ -24,9 +24,9 @@ class Columns:
 
 
 def reconcile(actual: list[str], expected: list[str], column_order: str = "ignore") -> Columns:
-    """Columns by exact name: shared ones in expected order, and whether the order differs where it counts."""
+    """Columns by exact name: shared ones in expected order, and whether the whole lists differ where their order counts."""
     shared = [c for c in expected if c in actual]
-    return Columns(shared, [c for c in expected if c not in actual], [c for c in actual if c not in expected], column_order == "strict" and shared != [c for c in actual if c in expected])
+    return Columns(shared, [c for c in expected if c not in actual], [c for c in actual if c not in expected], column_order == "strict" and list(actual) != list(expected))
 
 
 def type_mismatches(actual: StructType | None, expected: StructType | None, shared: list[str]) -> list[tuple[str, str, str]]:

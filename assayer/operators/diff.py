@@ -59,14 +59,16 @@ def _any_null(keys: list[str]) -> Column:
 
 
 def keyed_join(expected: DataFrame, actual: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
-    """Full outer join on equal keys, columns as e0.. and a0.., with presence marks. Null keys meet nothing."""
+    """Full outer join on equal keys, columns as e0.. and a0.., with presence marks. Null keys meet nothing, and their rows go round the join."""
     e = expected.select(*[quoted(c).alias(f"e{k}") for k, c in enumerate(shared)], F.lit(True).alias("in_e"))
     a = actual.select(*[quoted(c).alias(f"a{k}") for k, c in enumerate(shared)], F.lit(True).alias("in_a"))
     condition = F.lit(True)
     for key in keys:
         k = shared.index(key)
         condition = condition & (F.col(f"e{k}") == F.col(f"a{k}"))
-    return e.join(a, condition, "full_outer")
+    lost_e, lost_a = (_any_null([f"{side}{shared.index(key)}" for key in keys]) for side in "ea")
+    joined = e.where(~lost_e).join(a.where(~lost_a), condition, "full_outer")
+    return joined.unionByName(e.where(lost_e), allowMissingColumns=True).unionByName(a.where(lost_a), allowMissingColumns=True)
 
 
 def matches(k: int, is_numeric: bool, null_equality: str, tolerance: float) -> Column:

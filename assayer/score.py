@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
 
+from assayer.judging import GRADE, Example, graded
 from assayer.model import EvalCase, ExpectationSuite, GoldQuery, ResultDiff, Score
 from assayer.operators import diff, expect
 from assayer.operators.accuracy import ExecutionAccuracy as Comparator
@@ -153,18 +154,41 @@ class Expectations:
 
 @dataclass(frozen=True)
 class Judge:
-    """Asks a model whether the statement answers the question: a number in [0, 1], `threshold` or more passes."""
+    """Asks whether the statement answers the question: a number in [0, 1], `threshold` or more passes.
+
+    `ask` is any callable of case and statement, or a language model that is prompted with the criteria, and with steps,
+    a rubric (from, to, meaning) and examples where there are any. `show` names what it sees of the case.
+    """
 
     ask: object
     threshold: float = 0.5
     name: str = "judge"
+    criteria: str = "The statement answers the question."
+    steps: tuple[str, ...] = ()
+    rubric: tuple[tuple[float, float, str], ...] = ()
+    examples: tuple[Example, ...] = ()
+    show: tuple[str, ...] = ("question", "answer", "reference")
+
+    def __post_init__(self):
+        if any(low > high for low, high, _ in self.rubric):
+            raise ValueError("a band of the rubric ends before it begins")
 
     def score(self, engine: Engine, case: EvalCase, sql: str, budget: Budget) -> Score:
         try:
-            value = min(1.0, max(0.0, float(self.ask(case, sql))))
+            value, why = graded(self.ask, self.prompt(case, sql)) if hasattr(self.ask, "complete") else (float(self.ask(case, sql)), "")
         except Exception as e:
             return Score(self.name, "inconclusive", explanation=str(e) or type(e).__name__)
-        return Score(self.name, "pass" if value >= self.threshold else "fail", value, "judged")
+        value = min(1.0, max(0.0, value))
+        return Score(self.name, "pass" if value >= self.threshold else "fail", value, "judged", why)
+
+    def prompt(self, case: EvalCase, sql: str) -> str:
+        seen = {"question": case.input, "answer": sql, "reference": case.expected.sql if isinstance(case.expected, GoldQuery) else None}
+        parts = [f"Grade by this standard: {self.criteria}"]
+        parts += ["Steps:\n" + "\n".join(f"{k}. {s}" for k, s in enumerate(self.steps, 1))] if self.steps else []
+        parts += ["Scores:\n" + "\n".join(f"{low} to {high}: {what}" for low, high, what in self.rubric)] if self.rubric else []
+        parts += [f"Example\n{e}" for e in self.examples]
+        parts += [f"{name.capitalize()}:\n{seen[name]}" for name in self.show if seen[name] is not None]
+        return "\n\n".join([*parts, GRADE])
 
 
 @dataclass(frozen=True)
@@ -191,5 +215,18 @@ def observed_equivalence() -> FirstDecisive:
     return FirstDecisive((SemanticEquivalence(), ResultSetEquivalence()))
 
 
+def sql_equivalence_judge(ask) -> Judge:
+    """A judge of whether two statements give the same rows on any data."""
+    return Judge(
+        ask,
+        criteria="Two statements are equivalent if they give the same rows whatever the tables hold. How they are written, names and order of columns, and true against 1 make no difference; filters, joins, aggregates or columns that differ do.",
+        examples=(
+            Example("SELECT city FROM shops WHERE is_open = 1", "SELECT city FROM shops WHERE is_open = TRUE", 1.0, "the filter is the same"),
+            Example("SELECT max(price) FROM items", "SELECT min(price) FROM items", 0.0, "another aggregate"),
+            Example("WITH s AS (SELECT * FROM shops) SELECT city FROM s", "SELECT city FROM shops", 1.0, "the name for the rows changes nothing"),
+        ),
+    )
+
+
 def judged_equivalence(ask) -> FirstDecisive:
-    return FirstDecisive((SemanticEquivalence(), Judge(ask)))
+    return FirstDecisive((SemanticEquivalence(), sql_equivalence_judge(ask)))

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.judging import GRADE, graded
 from assayer.model import Score
 from assayer.operators.accuracy import by_position, equal_bags, equal_by_value
 from assayer.semantic.compile import Compiler, MetricQuery, ResolutionError
@@ -39,21 +40,49 @@ class SpecEquivalence:
 
 @dataclass(frozen=True)
 class ResultEquivalence:
-    """Rows as bags, numbers to six places, columns by value; the candidate may have more columns if they repeat no row."""
+    """Rows as bags, numbers to six places, columns by value; the candidate may have more columns if they part no rows.
+
+    A candidate that can't run is scored as `on_error`; a gold query that can't run leaves the verdict open.
+    """
 
     compiler: Compiler
-    on_error: str = "fail"
+    on_error: str = "inconclusive"
     name: str = "metric_result_equivalence"
 
     def score(self, spark: SparkSession, case: MetricCase, query: MetricQuery) -> Score:
-        gold = self.compiler.compile(spark, case.gold)
+        candidate, error = self._compiled(spark, query)
+        if error:
+            return self._failed(error)
+        gold, error = self._compiled(spark, case.gold)
+        if error:
+            return Score(self.name, "inconclusive", explanation=f"gold query: {error}")
         try:
-            candidate = self.compiler.compile(spark, query)
             same = results_agree(gold, candidate)
         except Exception as e:
-            return Score(self.name, self.on_error, explanation=str(e) or type(e).__name__)
+            # Plans run as rows are compared: see which one it is.
+            own = _error_of(lambda: candidate.write.format("noop").mode("overwrite").save())
+            return self._failed(own) if own else Score(self.name, "inconclusive", explanation=f"gold query: {str(e) or type(e).__name__}")
         return Score(self.name, "pass" if same else "fail", 1.0 if same else 0.0, "observed")
 
+    def _compiled(self, spark: SparkSession, query: MetricQuery) -> tuple[DataFrame | None, str]:
+        try:
+            return self.compiler.compile(spark, query), ""
+        except Exception as e:
+            return None, str(e) or type(e).__name__
+
+    def _failed(self, why: str) -> Score:
+        if self.on_error == "fail":
+            return Score(self.name, "fail", basis="observed", explanation=f"candidate: {why}")
+        return Score(self.name, "inconclusive", explanation=f"candidate: {why}")
+
+
+def _error_of(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except Exception as e:
+        return str(e) or type(e).__name__
+    return ""
+
 
 def _rounded(df: DataFrame) -> DataFrame:
     kinds = {"double", "float", "decimal"}
@@ -61,13 +90,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def results_agree(gold: DataFrame, candidate: DataFrame) -> bool:
+    """Equal as bags under some order of columns. Of a wider candidate some choice of columns has to be, one that keeps its
+    distinct rows distinct; repeated rows may repeat. Two empty results are equal at any width."""
     g, c = by_position(_rounded(gold)), by_position(_rounded(candidate))
-    extra = len(c.columns) - len(g.columns)
-    if extra < 0:
-        return False
-    if extra == 0:
+    if len(c.columns) <= len(g.columns) or g.isEmpty() or c.isEmpty():
         return equal_by_value(g, c, equal_bags)
-    n = c.count()
+    n = c.distinct().count()
     for chosen in combinations(range(len(c.columns)), len(g.columns)):
         part = c.select(*[F.col(f"p{j}").alias(f"p{k}") for k, j in enumerate(chosen)])
         if part.distinct().count() == n and equal_by_value(g, part, equal_bags):
@@ -77,16 +105,29 @@ def results_agree(gold: DataFrame, candidate: DataFrame) -> bool:
 
 @dataclass(frozen=True)
 class MetricJudge:
-    ask: Callable[[MetricCase, MetricQuery], float]
+    """`ask`: any callable of case and query that gives a number in [0, 1], or a language model that is prompted for one."""
+
+    ask: Callable[[MetricCase, MetricQuery], float] | object
     threshold: float = 0.5
     name: str = "metric_judge"
 
     def score(self, spark: SparkSession, case: MetricCase, query: MetricQuery) -> Score:
         try:
-            value = min(1.0, max(0.0, float(self.ask(case, query))))
+            value, why = graded(self.ask, self.prompt(case, query)) if hasattr(self.ask, "complete") else (float(self.ask(case, query)), "")
         except Exception as e:
             return Score(self.name, "inconclusive", explanation=str(e) or type(e).__name__)
-        return Score(self.name, "pass" if value >= self.threshold else "fail", value, "judged")
+        value = min(1.0, max(0.0, value))
+        return Score(self.name, "pass" if value >= self.threshold else "fail", value, "judged", why)
+
+    def prompt(self, case: MetricCase, query: MetricQuery) -> str:
+        task = "Two metric queries follow. Do they ask for the same thing: metrics, names to group by, filters, order and limit? A default grain that is written out, and the order of names to group by, make no difference."
+        return "\n\n".join([task, f"Question: {case.question}", f"Answer:\n{as_text(query)}", f"Reference:\n{as_text(case.gold)}", GRADE])
+
+
+def as_text(q: MetricQuery) -> str:
+    """A metric query's parts, a line each."""
+    parts = (("metrics", ", ".join(q.metrics)), ("group by", ", ".join(q.group_by)), ("where", " AND ".join(q.where)), ("order by", ", ".join(q.order_by)), ("limit", "" if q.limit is None else str(q.limit)))
+    return "\n".join(f"{name}: {value}" for name, value in parts if value)
 
 
 def first_decisive(scorers, spark: SparkSession, case: MetricCase, query: MetricQuery) -> Score:
@@ -100,7 +141,13 @@ def first_decisive(scorers, spark: SparkSession, case: MetricCase, query: Metric
 
 
 def strict(compiler: Compiler) -> tuple:
-    return (SpecEquivalence(compiler), ResultEquivalence(compiler))
+    """By what is asked for, then by what it gives; a candidate that can't run is wrong."""
+    return (SpecEquivalence(compiler), ResultEquivalence(compiler, "fail"))
+
+
+def metric_layer_equivalence(compiler: Compiler, ask) -> tuple:
+    """By what is asked for, then by what it gives, then by a judge."""
+    return (SpecEquivalence(compiler), ResultEquivalence(compiler), MetricJudge(ask))
 
 
 def run_metric_benchmark(spark: SparkSession, cases, solver, scorers) -> list[tuple[str, Score]]:

@@ -44,7 +44,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, with or without an id, each by its own text."""
     key = F.xxhash64("doc_id", "text")
-    found = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "decontamination"))
     return docs.withColumn("__key", key).join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(docs.columns)
 
 

@@ -50,6 +50,16 @@ def test_presets(spark):
     assert not ExecutionAccuracy().agrees(spark.sql("SELECT '1' AS a"), spark.sql("SELECT 1 AS b"))
 
 
+def test_numbers_are_exact(spark):
+    one = lambda x: spark.sql(f"SELECT {x} AS a")
+    same = [("1", "1.0D"), ("CAST(2.50 AS DECIMAL(10, 2))", "2.5D"), ("CAST(2.50 AS DECIMAL(10, 2))", "CAST(2.5 AS DECIMAL(38, 18))"), ("9007199254740993L", "CAST(9007199254740993 AS DECIMAL(38, 0))"), ("0.0D", "-0.0D"), ("double('NaN')", "double('NaN')"), ("1e300D", "1e300D"), ("100", "CAST(100 AS DECIMAL(10, 1))")]
+    other = [("9007199254740993L", "9007199254740992L"), ("CAST(12345678901234567890.1 AS DECIMAL(38, 1))", "CAST(12345678901234567890.2 AS DECIMAL(38, 1))"), ("1", "1.5D"), ("10", "1"), ("double('NaN')", "0.0D"), ("1e300D", "1e301D")]
+    for columns in ("positional", "by_value"):
+        agrees = ExecutionAccuracy(columns=columns).agrees
+        assert all(agrees(one(a), one(b)) for a, b in same), columns
+        assert not any(agrees(one(a), one(b)) for a, b in other), columns
+
+
 def test_empty_results(spark):
     none, one = spark.range(0), spark.range(1)
     value = ExecutionAccuracy("ignore", columns="by_value")
@@ -58,7 +68,9 @@ def test_empty_results(spark):
 
 def test_order(spark):
     many = by_position(spark.range(5000).orderBy("id"))
-    assert [r["__at"] for r in with_index(many).orderBy("__at").collect()] == list(range(5000))
+    held = []
+    assert [r["__at"] for r in with_index(many, held).orderBy("__at").collect()] == list(range(5000))
+    held[0].unpersist()
     assert equal_lists(many, by_position(spark.range(5000).repartition(7).orderBy("id")))
     assert not equal_lists(many, by_position(spark.range(5000).orderBy("id", ascending=False)))
 

@@ -94,6 +94,8 @@ def test_maps_are_compared_as_text(spark):
 def test_columns():
     c = reconcile(["b", "A", "x"], ["a", "x", "b"], "strict")
     assert (c.shared, c.missing, c.unexpected, c.order_differs) == (["x", "b"], ["a"], ["A"], True)
+    assert reconcile(["a", "b"], ["a", "b", "c"], "strict").order_differs and reconcile(["a", "b"], ["a"], "strict").order_differs
+    assert not reconcile(["a", "b"], ["a", "b"], "strict").order_differs and not reconcile(["b"], ["a", "b"]).order_differs
     assert type_mismatches(None, SCHEMA, ["a"]) == []
     other = StructType([StructField("a", DoubleType())])
     assert type_mismatches(other, SCHEMA, ["a"]) == [("a", "bigint", "double")]

@@ -7,7 +7,8 @@ import pytest
 from assayer.catalog_semantic import MANIFEST
 from assayer.semantic.compile import Compiler, MetricQuery, ResolutionError
 from assayer.semantic.manifest import Manifest, references
-from assayer.semantic.score import MetricCase, MetricJudge, ResultEquivalence, SpecEquivalence, first_decisive, run_metric_benchmark, strict
+from assayer.semantic.score import MetricCase, MetricJudge, ResultEquivalence, SpecEquivalence, first_decisive, metric_layer_equivalence, results_agree, run_metric_benchmark, strict
+from assayer.solvers import ScriptedLlm
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +76,28 @@ def test_verdicts(shop):
     assert first_decisive(scorers, shop, case, MetricQuery(("orders",), ("order_status",))).verdict == "fail"
     assert SpecEquivalence(compiler).score(shop, case, MetricQuery(("revenue",), ("nothing",))).basis == "proven"
     assert ResultEquivalence(compiler, "inconclusive").score(shop, case, MetricQuery(("nothing",))).verdict == "inconclusive"
+    # A candidate that can't run leaves it open by default, and fails it where the caller says so; a gold query that can't leaves it open.
+    assert ResultEquivalence(compiler).score(shop, case, MetricQuery(("nothing",))).verdict == "inconclusive"
+    found = ResultEquivalence(compiler, "fail").score(shop, case, MetricQuery(("nothing",)))
+    assert (found.verdict, found.basis) == ("fail", "observed")
+    lost = MetricCase("c", "?", MetricQuery(("nothing",)))
+    assert ResultEquivalence(compiler, "fail").score(shop, lost, case.gold).verdict == "inconclusive"
+    judge = metric_layer_equivalence(compiler, ScriptedLlm(['{"score": 0.7, "reason": "near"}', "no idea"]))[-1]
+    assert (judge.score(shop, case, case.gold).score, judge.score(shop, case, case.gold).verdict) == (0.7, "inconclusive")
+    assert "Reference:\nmetrics: revenue\ngroup by: order_status" in judge.ask.prompts[0]
     assert MetricJudge(lambda c, q: 2.0).score(shop, case, case.gold).score == 1.0
     found = run_metric_benchmark(shop, [case, case], lambda c: c.gold, scorers)
     assert [s.verdict for _, s in found] == ["pass", "pass"]
+
+
+def test_results_agree(spark):
+    rows = lambda *r: spark.sql(f"SELECT * FROM VALUES {', '.join(r)}")
+    gold = rows("(1, 'x')", "(1, 'x')", "(2, 'y')")
+    assert results_agree(gold, rows("('x', 1.0000000001D)", "('x', 1)", "('y', 2)"))
+    # Extra columns may be there if they part no rows; rows may repeat.
+    assert results_agree(gold, rows("(1, 'x', 9)", "(1, 'x', 9)", "(2, 'y', 9)"))
+    assert not results_agree(gold, rows("(1, 'x', 8)", "(1, 'x', 9)", "(2, 'y', 9)"))
+    assert not results_agree(gold, rows("(1)", "(1)", "(2)"))
+    # Empty results are equal at any width.
+    assert results_agree(gold.limit(0), rows("(1)").limit(0)) and results_agree(gold.limit(0), rows("(1, 2, 3)").limit(0))
+    assert not results_agree(gold, rows("(1, 2, 3)").limit(0)) and not results_agree(gold.limit(0), gold)
