@@ -14,8 +14,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Each step gives every node a smaller neighbour through an aggregation with partial sums and a join, so a node with
     many links is no task's burden. Links of a node to itself and repeated links do no harm; empty links give an empty table.
     """
+    rows = 2 * links.count()  # no step makes more
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.keep(edges, "edges")
+    edges = scratch.keep(edges, "edges", rows)
     while True:
         # Large star: all larger neighbours of a node are linked to its smallest neighbour.
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +25,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = scratch.keep(small.where("u <> v").distinct(), "edges")
+        new = scratch.keep(small.where("u <> v").distinct(), "edges", rows)
         scratch.drop(edges)
         edges = new
         # Done when every node has one link and no root has any: only stars are left.

@@ -82,9 +82,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, least_chars: int = 40, lea
 
     found = scratch.keep(ranged.mapInArrow(stream, "kind int, h bigint, g int, doc bigint, n bigint"), "lines")
     counts = found.where("kind = 2").groupBy("h", "g").agg(F.sum("n").alias("n_docs"), F.max("doc").alias("top"))
-    counts = scratch.keep(counts.where(F.col("n_docs") >= least_docs), "counts")  # at most two hashes for each task
+    counts = scratch.keep(counts.where(F.col("n_docs") >= least_docs), "counts", rows=1)  # at most two hashes for each task
     scratch.drop(rows)
-    undecided = found.where("kind = 1").join(counts, ["h", "g"]).where("doc <> top")
+    undecided = found.where("kind = 1").join(counts.hint("merge"), ["h", "g"]).where("doc <> top")
     return found.where("kind = 0").select("doc", F.col("n").alias("pos")).unionByName(undecided.select("doc", F.col("n").alias("pos")))
 
 

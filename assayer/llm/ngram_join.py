@@ -23,6 +23,7 @@ from assayer.llm.storage import Scratch
 from assayer.llm.text import BY_SPACE, distinct, shingles, tokens
 
 SKETCH_BITS, BLOCKS = 20, 64
+PAIRS_A_TASK = 2_000
 WORDS = 8  # of 64 bits: ranges of hashes, whose counts the suffix filter compares by their parity
 _U = np.uint64
 
@@ -197,7 +198,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
     links = tried = spark.createDataFrame([], "a bigint, b bigint")
     spent = [some]
     roots = components(links, scratch)
-    found = 0
+    found, size = 0, lists.count()
     for k in range(rounds):
         # Any member may stand for its list, another one in each round: members of large components mostly, and so most nodes soon meet a partner.
         heads = lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("id", "gram", F.lit(k)).alias("by"), "id", "n", "pos", "root")).alias("y"))
@@ -206,32 +207,35 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
         # Of a node's candidates those that may differ least; texts are fetched for these only.
         place = F.row_number().over(Window.partitionBy("b").orderBy(F.col("apart") / (F.col("n_a") + F.col("n_b")), "a"))
         best = profiled(pairs.join(tried, ["a", "b"], "left_anti")).select("a", "b", place.alias("place")).where(F.col("place") <= tries)
-        best = scratch.keep(best.select("a", "b"), "candidates")
+        best = scratch.keep(best.select("a", "b"), "candidates", size)
         spent.append(best)
         # A pair may come up again the other way round.
         tried = tried.unionByName(best.select("a", "b")).unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = scratch.keep(links.unionByName(verify(best, some, width, percent)), "links")
-        spent.append(links)
+        pairs = best.count()
+        new = scratch.keep(verify(best, some, width, percent), "links", pairs, PAIRS_A_TASK)
+        links = scratch.keep(links.unionByName(new), "links", found + pairs)
+        spent += [new, links]
         before, found = found, links.count()
         if found == before:
             break
         roots = components(links, scratch)
-        old, lists = lists, scratch.keep(_across(lists, roots), "lists")
+        old, lists = lists, scratch.keep(_across(lists, roots), "lists", size)
         scratch.drop(old)
-        if lists.isEmpty():
+        if not (size := lists.count()):
             break
 
     # All pairs that are left: in one list, in different components, and by their profiles near enough.
-    shown = scratch.keep(lists.join(profiles, lists["id"] == profiles["node"]).drop("node"), "profiles")
+    shown = scratch.keep(lists.join(profiles, lists["id"] == profiles["node"]).drop("node"), "profiles", size)
     left, right = shown.alias("l"), shown.alias("r")
     near = suffix_filter(F.col("l.n"), F.col("r.n"), apart(F.col("l.profile"), F.col("r.profile")), percent)
     pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & may_link("l", "r", percent) & near)
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    rest = scratch.keep(verify(pairs.join(tried, ["a", "b"], "left_anti"), some, width, percent), "links")
+    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+    rest = scratch.keep(verify(pairs, some, width, percent), "links", pairs.count(), PAIRS_A_TASK)
     if not rest.isEmpty():
         roots = components(links.unionByName(rest), scratch)
 
-    scratch.drop(lists, shown, rest, *spent)
+    scratch.drop(lists, shown, pairs, rest, *spent)
     placed = nodes.join(roots, nodes["node"] == roots["id"], "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return summary.join(placed, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

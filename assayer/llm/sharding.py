@@ -36,7 +36,7 @@ def _first_past(bins: DataFrame, at: str) -> DataFrame:
     return passed.groupBy("first").agg(F.min(F.struct(at, (F.col("goal") - F.col("run") + F.col("b")).alias("goal"))).alias("x"))
 
 
-def split_nodes(placed: DataFrame, scratch: Scratch, scale: list[float]) -> DataFrame:
+def split_nodes(placed: DataFrame, scratch: Scratch, scale: list[float], shards: int) -> DataFrame:
     """`first, dim, cut` for each node (`first`: its first shard, `m`: how many it has) with more than one shard.
 
     `dim` is the dimension in which the node is widest: the variance of its bytes' places there, in proportion to the whole
@@ -49,12 +49,12 @@ def split_nodes(placed: DataFrame, scratch: Scratch, scale: list[float]) -> Data
     widest = _spreads(bins).withColumn("wide", F.round(F.col("variance") / F.get(F.array(*[F.lit(x) for x in scale]), F.col("dim")), 9))
     widest = widest.groupBy("first", "m").agg(F.max(F.struct("wide", (-F.col("dim")).alias("back"), "bytes")).alias("x"))
     goal = (F.col("x.bytes").cast("decimal(38,0)") * F.floor(F.col("m") / 2) / F.col("m")).cast("bigint")
-    nodes = scratch.keep(widest.select("first", (-F.col("x.back")).alias("dim"), goal.alias("goal")), "nodes")
+    nodes = scratch.keep(widest.select("first", (-F.col("x.back")).alias("dim"), goal.alias("goal")), "nodes", shards)
     upper = _first_past(bins.join(nodes, ["first", "dim"]), "bin").select("first", F.col("x.bin").alias("bin"), F.col("x.goal").alias("goal"))
-    nodes = scratch.keep(nodes.drop("goal").join(upper, "first"), "nodes")
+    nodes = scratch.keep(nodes.drop("goal").join(upper, "first"), "nodes", shards)
     fine = open_.join(nodes, "first").withColumn("at", F.get("c", F.col("dim"))).where(F.shiftright("at", BINS) == F.col("bin"))
     lower = _first_past(fine.groupBy("first", "goal", "at").agg(F.sum("size").alias("b")), "at").select("first", F.col("x.at").alias("cut"))
-    return scratch.keep(nodes.select("first", "dim").join(lower, "first"), "cuts")
+    return scratch.keep(nodes.select("first", "dim").join(lower, "first"), "cuts", shards)
 
 
 def _spreads(bins: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def kd_shards(docs: DataFrame, scratch: Scratch, shards: int = 8, target_bytes:
         whole = {r["dim"]: r["variance"] for r in _spreads(root).collect()}  # one row a dimension
         scale = [max(whole.get(k) or 0.0, 1e-12) for k in range(len(DIMENSIONS))]
     for _ in range((shards - 1).bit_length()):
-        cuts = split_nodes(placed, scratch, scale)
+        cuts = split_nodes(placed, scratch, scale, shards)
         moved = placed.join(cuts, "first", "left")
         left, half = F.coalesce(F.get("c", F.col("dim")) < F.col("cut"), F.lit(True)), F.floor(F.col("m") / 2)
         first = F.when((F.col("m") > 1) & ~left, F.col("first") + half).otherwise(F.col("first"))

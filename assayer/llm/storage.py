@@ -37,10 +37,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame, name: str = "t", **options: int | str) -> DataFrame:
-        """Write `df` and read it again: later plans start at the files, not at `df`'s lineage."""
+    def keep(self, df: DataFrame, name: str = "t", rows: int | None = None, rows_a_file: int = 100_000, **options: int | str) -> DataFrame:
+        """Write `df` and read it again: later plans start at the files, not at `df`'s lineage.
+
+        rows: as many as `df` may have, where that is known: a small table then is a few files, not one for each task.
+        """
         self.count += 1
         at = f"{self.root}/{self.count:03d}-{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // rows_a_file)))
         df.write.option("compression", "zstd").options(**options).parquet(at)
         if self.count == 1:
             files, path = self._files(self.root)
