@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.ship import frugal
+from assayer.llm.ship import frugal, give_back
 from assayer.llm.sparse import Terms, held_out, labelled_sample, row_sums, scores, sparse_rows
 from assayer.llm.text import BY_RUNS
 
@@ -68,7 +68,10 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, at_most: int = 8000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
     """Fit on at most `at_most` labelled rows that are not held out; without any, every text scores one half."""
     index, count, bounds, label = sparse_rows(labelled_sample(docs, labels, "quality", at_most, doc_id, text), TERMS)
-    return QualityModel(*Ftrl(TERMS.bits).fit(index, values(count, bounds), bounds, label))
+    model = QualityModel(*Ftrl(TERMS.bits).fit(index, values(count, bounds), bounds, label))
+    del index, count
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.ship import give_back
 from assayer.llm.sparse import Terms, held_out, labelled_sample, row_sums, scores, sparse_rows
 from assayer.llm.text import BY_LETTERS
 
@@ -188,7 +189,10 @@ def pair_factors(at: np.ndarray, ends: np.ndarray, error: np.ndarray, factors: i
 def fit(docs: DataFrame, labels: DataFrame, at_most: int = 8000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on at most `at_most` labelled rows that are not held out; without any, every text scores one half."""
     index, _, bounds, label = sparse_rows(labelled_sample(docs, labels, "toxic", at_most, doc_id, text), TERMS)
-    return fit_machine(index, bounds, label, TERMS.bits)
+    model = fit_machine(index, bounds, label, TERMS.bits)
+    del index
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
