@@ -239,8 +239,7 @@ class WordBpe:
     def prefix_deltas(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For each text the change of the token count at each of its bytes; the sum up to a byte is the exact count of that prefix.
 
-        A prefix that ends within a character counts as the one before that character. A text whose NFC form differs
-        gets the table of its NFC form.
+        A prefix that ends within a character counts as the one before that character.
         """
         return self._rows(column, self.deltas, self._learn_deltas, self._odd_deltas, spread=True)
 
@@ -318,8 +317,33 @@ class WordBpe:
 
     def _odd_deltas(self, text: str) -> np.ndarray:
         """As the fast path, for any text: special strings, other alphabets, decomposed characters."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+        return self._composed(text) if unicodedata.is_normalized("NFC", text) else self._decomposed(text)
+
+    def _decomposed(self, text: str) -> np.ndarray:
+        """For a text that the normaliser changes. It is cut where nothing composes across the cut. Behind a whole segment the count is
+        that of the composed text there; a prefix that ends within one is encoded from the last white space on, where pieces end."""
+        nfc = lambda s: unicodedata.normalize("NFC", s)
+        segments = [text[0]]
+        for c in text[1:]:
+            if not unicodedata.combining(c) and nfc(segments[-1] + c) == nfc(segments[-1]) + nfc(c):
+                segments.append(c)
+            else:
+                segments[-1] += c
+        composed = nfc(text)
+        counts = np.concatenate(([0], np.cumsum(self._composed(composed), dtype=np.int64)))[np.cumsum([0, *[len(c.encode()) for c in composed]])]
+        out, last, at, word = [], 0, 0, 0
+        for segment in segments:
+            whole = nfc(segment)
+            for k, c in enumerate(segment, 1):
+                n = int(counts[at + len(whole)] if k == len(segment) else counts[word] + len(self.library.encode(composed[word:at] + nfc(segment[:k]), add_special_tokens=False).ids))
+                out += [0] * (len(c.encode()) - 1) + [n - last]
+                last = n
+            at += len(whole)
+            if whole[-1].isspace():
+                word = at
+        return np.array(out, dtype=np.int8)
+
+    def _composed(self, text: str) -> np.ndarray:
         out: list[int] = []
         at = 0
         for m in self.special.finditer(text):
