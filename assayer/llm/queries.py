@@ -90,8 +90,8 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.withColumn("similarity", F.round("similarity", 9))
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "decontamination"))
+    return found.select("doc_id", "item_id", F.col("start").cast("bigint").alias("start"), F.col("n_words").cast("bigint").alias("n_words"), F.round("similarity", 9).alias("similarity"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
