@@ -84,9 +84,10 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Files and samples are stored beside their digests; small row groups, as rows are large.
-    made = telephony.digests(telephony.store_as_telephony(_table(spark, sf_dir, "documents")), "media", "pcm_rate", "pcm")
-    return Scratch(spark, "telephony").keep(made, "media", **{"parquet.block.size": 1 << 25}).drop("media", "pcm_rate", "pcm")
+    # Files and samples are stored, and digests taken of what is read back; small row groups, as rows are large.
+    made = telephony.store_as_telephony(_table(spark, sf_dir, "documents"))
+    stored = Scratch(spark, "telephony").keep(made, "media", **{"parquet.block.size": 1 << 25, "parquet.compression.codec.zstd.level": 6})
+    return telephony.digests(stored)
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.ship import frugal
+
 # Format tags of WAV files, and the step sizes and index changes of IMA ADPCM.
 PCM, A_LAW, MU_LAW, IMA = 1, 6, 7, 17
 IMA_STEPS = np.array([
@@ -141,6 +145,30 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.round(np.interp(at, np.arange(len(samples)), samples.astype(np.float64))).astype(np.int16)
 
 
+def lift(pcm: np.ndarray) -> bytes:
+    """16-bit samples for storage, without loss: every other one, then how far those between lie from the mean of their neighbours.
+
+    Samples that come from doubling a rate have nothing but zeros there, which a compressor takes out. Arithmetic is
+    modulo 2**16, so any samples can be stored.
+    """
+    even = pcm[0::2].astype(np.int32)
+    return even.astype("<i2").tobytes() + (pcm[1::2] - _between(even, len(pcm) // 2)).astype("<i2").tobytes()
+
+
+def unlift(stored: bytes) -> np.ndarray:
+    flat = np.frombuffer(stored, dtype="<i2").astype(np.int32)
+    n = len(flat)
+    even = flat[: n - n // 2]
+    out = np.empty(n, dtype=np.int16)
+    out[0::2] = even
+    out[1::2] = flat[n - n // 2 :] + _between(even, n // 2)
+    return out
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    return (even[:n] + np.append(even[1:], even[-1:])[:n]) >> 1
+
+
 def describe(pcm: np.ndarray) -> str:
     """Peak, root mean square (to the nearest unit) and sign changes of the samples."""
     if not len(pcm):
@@ -150,40 +178,41 @@ def describe(pcm: np.ndarray) -> str:
     return f"peak={int(np.abs(wide).max())};rms={round(float(np.sqrt(np.dot(wide, wide) / len(wide))))};crossings={int(np.count_nonzero(negative[1:] != negative[:-1]))}"
 
 
-MEDIA = "doc_id bigint, n_bytes bigint, media binary, pcm_rate int, pcm binary, payload binary, feature string"
+MEDIA = "doc_id bigint, n_bytes bigint, media binary, pcm_rate int, pcm binary"
+READ = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def store_as_telephony(docs: DataFrame, law: int = MU_LAW, rate: int = 8000, to_rate: int = 16000, pad_to: int = 192, keep_pcm: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text's UTF-8 bytes, padded with spaces, as the codes of a G.711 file; read the file back and decode it.
+def store_as_telephony(docs: DataFrame, law: int = MU_LAW, rate: int = 8000, to_rate: int = 16000, pad_to: int = 192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text's UTF-8 bytes, padded with spaces, as the codes of a G.711 file (mu-law or A-law), and its resampled samples.
 
-    `payload` is what the reader got out of the stored file, `pcm` the expanded and resampled 16-bit samples (null
-    without `keep_pcm`). Codes map to samples by a table of 256 entries and are kept as they are, so storing loses
+    `media` is the file, `pcm` the expanded and resampled 16-bit samples as `lift` stores them; both are to be written, and
+    `digests` reads them. Codes map to samples by a table of 256 entries and are kept as they are, so storing loses
     nothing. Null and empty texts are `pad_to` spaces; null ids stay null; repeated rows repeat; other columns are
     not read. One pass, no shuffle.
     """
 
+    @frugal
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(5)]
             held = 0
-            for doc, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text_ or "").encode()
+            for doc, text_ in zip(batch.column(0), batch.column(1), strict=True):
+                raw = (text_.as_py() or "").encode()
                 media = write_wav(law, rate, raw + b" " * ((-len(raw)) % pad_to if raw else pad_to))
                 samples, own_rate = decode(media)
-                pcm = resample(samples[:, 0], own_rate, to_rate)
-                payload = read_wav(media)[4]
-                for column, value in zip(rows, (doc, len(raw), media, to_rate, pcm.tobytes() if keep_pcm else None, payload, describe(pcm)), strict=True):
+                pcm = lift(resample(samples[:, 0], own_rate, to_rate))
+                for column, value in zip(rows, (doc.as_py(), len(raw), media, to_rate, pcm), strict=True):
                     column.append(value)
-                held += len(payload) * (6 if keep_pcm else 2)
-                if held > 1 << 24:
-                    yield _batch(rows)
-                    rows, held = [[] for _ in range(7)], 0
-            yield _batch(rows)
+                held += len(media) + len(pcm)
+                if held > 1 << 23:
+                    yield _batch(rows, MEDIA)
+                    rows, held = [[] for _ in range(5)], 0
+            yield _batch(rows, MEDIA)
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(store, MEDIA)
 
 
-def _batch(rows: list[list], schema: str = MEDIA) -> pa.RecordBatch:
+def _batch(rows: list[list], schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(rows, types, strict=True)], list(names))
@@ -199,6 +228,7 @@ def decode_audio(files: DataFrame, to_rate: int = 16000, doc_id: str = "doc_id",
     `error` and no samples; a null file has neither. Null ids stay null; repeated rows repeat. One pass, no shuffle.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
@@ -223,77 +253,24 @@ def decode_audio(files: DataFrame, to_rate: int = 16000, doc_id: str = "doc_id",
     return files.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(audio).alias("audio")).mapInArrow(run, DECODED)
 
 
-def _batch(rows: list[list], schema: str = MEDIA) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(rows, types, strict=True)], list(names))
-
-
-DECODED = "doc_id bigint, rate int, channels int, n_frames bigint, pcm_rate int, pcm binary, feature string, error string"
-
-
-def decode_audio(files: DataFrame, to_rate: int = 16000, doc_id: str = "doc_id", audio: str = "media") -> DataFrame:
-    """Each WAV file of a binary column (mu-law, A-law, IMA ADPCM, 8- or 16-bit PCM) as resampled 16-bit PCM.
-
-    `pcm` has `n_frames` frames at `to_rate`, the samples of all channels in turn. A file that can't be read has its
-    `error` and no samples; a null file has neither. Null ids stay null; repeated rows repeat. One pass, no shuffle.
+def digests(stored: DataFrame) -> DataFrame:
+    """Sizes and check sums of stored files (`store_as_telephony`'s rows, written and read) and of the payload that the
+    reader gets out of them, and the `feature` of the stored samples. One pass, no shuffle; only digests leave it.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
-            held = 0
-            for doc, file in zip(batch.column(0), batch.column(1), strict=True):
-                row = [doc.as_py(), *[None] * 7]
-                if (raw := file.as_py()) is not None:
-                    try:
-                        samples, rate = decode(raw)
-                        pcm = np.stack([resample(own, rate, to_rate) for own in samples.T], axis=1)
-                        row[1:7] = rate, samples.shape[1], len(pcm), to_rate, pcm.astype("<i2").tobytes(), ";".join(map(describe, pcm.T))
-                        held += pcm.nbytes
-                    except (ValueError, struct.error) as error:
-                        row[7] = str(error)
+            for doc, n, media, pcm in zip(*batch.columns, strict=True):
+                file = media.as_buffer()
+                payload = read_wav(file.to_pybytes())[4]
+                row = (
+                    doc.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
+                    file.size, hashlib.sha256(file).hexdigest(), describe(unlift(pcm.as_buffer())),
+                )
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
-                if held > 1 << 24:
-                    yield _batch(rows, DECODED)
-                    rows, held = [[] for _ in range(8)], 0
-            yield _batch(rows, DECODED)
-
-    return files.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(audio).alias("audio")).mapInArrow(run, DECODED)
-
-
-def read_back(stored: DataFrame) -> DataFrame:
-    """`payload` as the reader gets it out of the stored files, and `feature` of the stored samples, for `digests`."""
+            yield _batch(rows, READ)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            held = 0
-            for doc, n, media, rate, pcm in zip(*batch.columns, strict=True):
-                file, samples = media.as_py(), pcm.as_py()
-                row = (doc.as_py(), n.as_py(), file, rate.as_py(), None, read_wav(file)[4], describe(np.frombuffer(samples, dtype="<i2")))
-                for column, value in zip(rows, row, strict=True):
-                    column.append(value)
-                held += 2 * len(file)
-                if held > 1 << 24:
-                    yield _batch(rows)
-                    rows, held = [[] for _ in range(7)], 0
-            yield _batch(rows)
-
-    return stored.select("doc_id", "n_bytes", "media", "pcm_rate", "pcm").mapInArrow(run, MEDIA)
-
-
-def digests(stored: DataFrame, *also: str) -> DataFrame:
-    """Sizes and check sums of the stored files and of what was read back from them; also: columns that stay."""
-    return stored.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
-        F.octet_length("media").cast("bigint").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-        *also,
-    )
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, READ)
