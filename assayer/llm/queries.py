@@ -156,4 +156,16 @@ WITH RECURSIVE w AS (
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)""",
+    # Every window of every document for every item, by counting what it shares with it.
+    "op10_decontamination": """
+WITH d AS (SELECT DISTINCT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+), i AS (SELECT DISTINCT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL
+), ds AS (SELECT id, len(w) - 4 AS n, k AS pos, array_to_string(w[k + 1:k + 5], ' ') AS g FROM d, unnest(range(0, greatest(len(w) - 4, 0))) AS r(k)
+), s AS (SELECT id, len(w) - 4 AS m, array_to_string(w[k + 1:k + 5], ' ') AS g, count(*) AS c FROM i, unnest(range(0, greatest(len(w) - 4, 0))) AS r(k) GROUP BY ALL
+), held AS (SELECT ds.id AS doc_id, s.id AS item_id, n, m, g, c, unnest(range(pos - m + 1, pos + 1)) AS start FROM ds JOIN s USING (g)
+), counts AS (SELECT doc_id, item_id, n, m, start, g, least(c, count(*)) AS common FROM held GROUP BY doc_id, item_id, n, m, start, g, c
+), sums AS (SELECT doc_id, item_id, m, start, sum(common) AS common, least(n, start + m) - greatest(0, start) AS size FROM counts GROUP BY doc_id, item_id, n, m, start
+), best AS (SELECT *, common / (m + size - common) AS sim FROM sums WHERE common / (m + size - common) >= 0.8
+), one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS place FROM best)
+SELECT doc_id, item_id, CAST(greatest(0, start) AS BIGINT) AS start, CAST(m + 4 AS BIGINT) AS n_words, round(CAST(sim AS DOUBLE), 9) AS similarity FROM one WHERE place = 1""",
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -46,3 +47,22 @@ def kept_lines(docs, least_chars=40, least_docs=5):
         keep = [x for x in lines if len(holders.get(key(x), ())) < least_docs or max(holders[key(x)]) == i]
         out[i] = (len(lines), len(lines) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest())
     return out
+
+
+def leaks(docs, items, width=5, least=0.8):
+    """The best similarity of each document and item over all windows of the item's size, cut at the ends of the text."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
+    found = {}
+    for d, t in docs:
+        own = grams(cut(t))
+        for i, s in items:
+            want = Counter(grams(cut(s)))
+            m = want.total()
+            if not m or not want.keys() & set(own):
+                continue
+            for a in range(1 - m, len(own)):
+                got = Counter(own[max(0, a) : a + m])
+                if (sim := (got & want).total() / (got | want).total()) >= least:
+                    found[d, i] = max(found.get((d, i), 0), sim)
+    return found

@@ -1,10 +1,14 @@
+import hashlib
 import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from assayer.llm import decontam, quality
+from assayer.llm import quality
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -26,14 +30,20 @@ def test_stages_keep_columns_and_take_effect(spark, stages):
     assert all(d.columns == columns and d.dtypes == docs.dtypes for d in (good, cut, single, clean))
     scored = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("predicted = 1")
     assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in scored.collect()}
-    texts = [(r["doc_id"], r["text"]) for r in good.collect()]
-    lines = brute.kept_lines(texts)
-    assert cut.count() == good.count() and sum(len(r["text"].split("\n")) for r in cut.collect() if r["text"]) <= sum(n - d for n, d, _ in lines.values())
+    lines = brute.kept_lines([(r["doc_id"], r["text"]) for r in good.collect()])
+    assert {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in cut.collect()} == {i: sha for i, (_, _, sha) in lines.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect() if r["text"] is not None)
     classes = brute.components([(r["doc_id"], r["text"]) for r in cut.collect()])
     assert {r["doc_id"] for r in single.collect()} == {i for i, (_, c) in classes.items() if i == c}
-    leaked = {r["doc_id"] for r in decontam.contaminated(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {i for i, _ in brute.leaks([(r["doc_id"], r["text"]) for r in single.collect()], items)}
+    assert leaked
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - leaked
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in clean.collect()}
+    library, got = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(got.setdefault(r["doc_id"], [])) and r["length"] & (r["length"] - 1) == 0
+        got[r["doc_id"]] += np.frombuffer(r["tokens"], "<u4").tolist()
+    assert got == {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in clean.collect()}
 
 
 def test_run_is_the_stages_in_turn(spark, stages):
