@@ -26,8 +26,17 @@ class CaseReport:
     error: str | None = None
 
     def __post_init__(self):
-        if (self.outcome == "passed") != (bool(self.scores) and all(s.verdict == "pass" for s in self.scores)):
+        good = bool(self.scores) and all(s.verdict == "pass" for s in self.scores)
+        if self.outcome not in ("passed", "scored_failure", "solver_failure", "execution_failure"):
+            raise ValueError(f"no outcome {self.outcome}")
+        if (self.outcome == "passed") != good:
             raise ValueError("a case passes when all of its scores do, and only then")
+        if self.outcome == "scored_failure" and not self.scores:
+            raise ValueError("a failure of scoring has a score that is no pass")
+        if self.outcome in ("solver_failure", "execution_failure") and not self.error:
+            raise ValueError("a failure before scoring has an error")
+        if self.outcome == "solver_failure" and (self.sql or self.scores):
+            raise ValueError("a failure of the solver has neither statement nor scores")
 
     @property
     def passed(self) -> bool:
@@ -50,19 +59,24 @@ def score_case(engine: Engine, case: EvalCase, sql: str, scorers: Sequence[Score
     run = engine.execute(sql, budget)
     if not run.ok:
         return CaseReport(case, "execution_failure", sql, error=f"{run.error.kind}: {run.error.message}")
+    if not scorers:
+        raise ValueError("no scorers")
     scores = tuple(s.score(engine, case, sql, budget) for s in scorers)
-    return CaseReport(case, "passed" if scores and all(s.verdict == "pass" for s in scores) else "scored_failure", sql, scores)
+    return CaseReport(case, "passed" if all(s.verdict == "pass" for s in scores) else "scored_failure", sql, scores)
 
 
 def assert_eval(engine: Engine, case: EvalCase, solver, scorers: Sequence[Scorer] = (ResultSetEquivalence(),)) -> CaseReport:
-    report = evaluate_case(engine, case, solver, scorers)
+    """The report, which the run collects too; AssertionError with all that is known if the case did not pass."""
+    from assayer import reporting
+
+    report = reporting.record(evaluate_case(engine, case, solver, scorers))
     if not report.passed:
-        raise AssertionError(f"{case.id}: {report.outcome} {report.error or [(s.scorer, s.verdict, s.explanation) for s in report.scores]}")
+        raise AssertionError(reporting.failure_text(report))
     return report
 
 
-def run_benchmark(engine: Engine, cases: Iterable[EvalCase], solver, scorers: Sequence[Scorer] = (ResultSetEquivalence(),), limit: int | None = None, threads: int = 1) -> list[CaseReport]:
-    """Solvers may run side by side; statements run one after another, in the order of the cases."""
+def run_benchmark(engine: Engine | Callable[[EvalCase], Engine], cases: Iterable[EvalCase], solver, scorers: Sequence[Scorer] = (ResultSetEquivalence(),), limit: int | None = None, threads: int = 1) -> list[CaseReport]:
+    """Solvers may run side by side; statements run one after another, in the order of the cases. `engine`: one for all, or what gives a case's."""
     chosen = list(islice(cases, limit))
 
     def solve(case: EvalCase):
@@ -74,7 +88,15 @@ def run_benchmark(engine: Engine, cases: Iterable[EvalCase], solver, scorers: Se
     answers = run_many([lambda c=c: solve(c) for c in chosen], threads)
     out = []
     for case, (sql, error) in zip(chosen, answers, strict=True):
-        out.append(score_case(engine, case, sql, scorers) if sql and not error else CaseReport(case, "solver_failure", error=error or "empty response"))
+        if not sql or error:
+            out.append(CaseReport(case, "solver_failure", error=error or "empty response"))
+            continue
+        try:
+            own = engine if isinstance(engine, Engine) else engine(case)
+        except Exception as e:
+            out.append(CaseReport(case, "execution_failure", sql, error=f"platform_unavailable: {e}"))
+            continue
+        out.append(score_case(own, case, sql, scorers))
     return out
 
 

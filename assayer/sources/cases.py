@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.model import Comparison, EvalCase, GoldQuery
+from assayer.sources.databases import sqlite_ddl
 
 SPIDER = "db_id string, question string, query string"
 BIRD = "db_id string, question string, evidence string, SQL string, question_id string, difficulty string"
@@ -38,6 +43,21 @@ def as_cases(rows: DataFrame, comparison: Comparison | None = None) -> list[Eval
     return [EvalCase(r["case_id"], r["question"], GoldQuery(r["gold_sql"]), comparison or Comparison(), metadata={"db_id": r["db_id"], "difficulty": r["difficulty"]}) for r in rows.collect()]
 
 
+def dataset_cases(root: str, split: str = "dev", databases: str = "database", kind: str = "spider", include_evidence: bool = True) -> Iterator[EvalCase]:
+    """Cases of an unpacked data set, in the order of its file, each with its database's path and the statements that made its tables."""
+    for k, r in enumerate(json.loads((Path(root) / f"{split}.json").read_text(encoding="utf-8"))):
+        path = Path(root) / databases / r["db_id"] / f"{r['db_id']}.sqlite"
+        evidence = (r.get("evidence") or "").strip()
+        question = r["question"] + (f"\nEvidence: {evidence}" if include_evidence and evidence else "")
+        more = {"source": kind, "db_id": r["db_id"], "db_path": str(path), "context": _ddl_of(str(path)), "difficulty": r.get("difficulty"), "split": split}
+        yield EvalCase(f"{kind}/{r['db_id']}/{r.get('question_id', k)}", question, GoldQuery(r["SQL"] if "SQL" in r else r["query"]), metadata=more)
+
+
+@lru_cache(maxsize=None)
+def _ddl_of(path: str) -> str:
+    return sqlite_ddl(path) if Path(path).is_file() else ""
+
+
 def extract_sql(reply: str) -> str | None:
     """The first fenced block of a reply, else all of it; None if that is empty."""
     m = re.search(r"```[a-zA-Z]*\s*\n(.*?)```", reply, re.DOTALL)

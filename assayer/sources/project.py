@@ -84,14 +84,14 @@ class Project:
 
     def model_cases(self) -> list[EvalCase]:
         """Models with a description and compiled SQL: the one asks and the other answers."""
-        return [EvalCase(t.name, t.description, GoldQuery(t.sql)) for t in self.tables.values() if t.kind == "model" and t.description and t.sql]
+        return [EvalCase(t.name, t.description, GoldQuery(t.sql), metadata={"context": self.context()}) for t in self.tables.values() if t.kind == "model" and t.description and t.sql]
 
     def test_cases(self) -> list[EvalCase]:
         """The tests of each table as a suite over it."""
         suites: dict[str, list[Expectation]] = {}
         for c in self.checks:
             suites.setdefault(c.table, []).append(c.expectation)
-        return [EvalCase(f"{self.tables[t].name}-tests", f"SELECT * FROM {self.tables[t].relation}", ExpectationSuite(tuple(e))) for t, e in suites.items() if t in self.tables]
+        return [EvalCase(f"{self.tables[t].name}-tests", f"SELECT * FROM {self.tables[t].relation}", ExpectationSuite(tuple(e)), metadata={"context": self.context()}) for t, e in suites.items() if t in self.tables]
 
     def metric_cases(self, cases: list[dict]) -> list[tuple[MetricCase, list[str]]]:
         """Of `question` and a metric query's parts, each with the names its metrics can all be grouped by."""
