@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, DoubleType, LongType, StringType, StructField, StructType
@@ -240,14 +242,14 @@ def scalar_read(spark, d):
     return rows(spark, [(value, errors)], "value bigint, errors bigint")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('query_failed', '42P01', 'TABLE_OR_VIEW_NOT_FOUND'), ('query_failed', '42601', 'PARSE_SYNTAX_ERROR'), ('query_failed', '42703', 'UNRESOLVED_COLUMN.WITH_SUGGESTION')) v(kind, sqlstate, condition)")
 def error_condition(spark, d):
     engine = Engine.over(spark, d, ("orders",))
     found = [engine.execute(s).error for s in ("SELECT * FROM nowhere", "SELEC 1", "SELECT nothing FROM orders")]
     return rows(spark, [(e.kind, e.sqlstate, e.condition) for e in found], "kind string, sqlstate string, condition string")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('cancelled', 'budget_exceeded'), ('not started', 'budget_exceeded')) v(step, result)")
 def budget_pool(spark, d):
     engine, gone = Engine.over(spark, d, ("orders",)), Budget(0)
     short = Budget(0.3)
@@ -256,7 +258,10 @@ def budget_pool(spark, d):
     return rows(spark, [("cancelled", late.kind if late else "finished"), ("not started", after.kind)], "step string, result string")
 
 
-@query()
+DDL_TYPE = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, 'CREATE TABLE {t} (' || chr(10) || string_agg('  ' || column_name || ' ' || {DDL_TYPE}, ',' || chr(10)) || chr(10) || ')' AS ddl FROM (DESCRIBE {t})" for t in TABLES))
 def catalog_ddl(spark, d):
     return rows(spark, [(t, ddl(table(spark, d, t), t)) for t in TABLES], "table_name string, ddl string")
 
@@ -317,52 +322,68 @@ def expectation_suite(spark, d):
 
 # Execution accuracy.
 
-GOLD = "SELECT n_name, n_regionkey FROM nation ORDER BY n_name"
+GOLD = (["o_orderkey", "o_custkey", "o_orderstatus"], "FROM orders ORDER BY o_orderkey")
 PAIRS = (
     ("identity", GOLD, GOLD),
-    ("reversed", GOLD, "SELECT n_name, n_regionkey FROM nation ORDER BY n_name DESC"),
-    ("permuted", GOLD, "SELECT n_regionkey AS a, n_name AS b FROM nation ORDER BY n_name"),
-    ("limited", GOLD, "SELECT n_name, n_regionkey FROM nation ORDER BY n_name LIMIT 3"),
-    ("repeated", "SELECT n_regionkey FROM nation", "SELECT DISTINCT n_regionkey FROM nation"),
-    ("wider", "SELECT n_name FROM nation", "SELECT n_name, n_regionkey FROM nation"),
+    ("reversed", GOLD, (GOLD[0], "FROM orders ORDER BY o_orderkey DESC")),
+    ("permuted", GOLD, (["o_orderstatus", "o_orderkey", "o_custkey"], GOLD[1])),
+    ("limited", GOLD, (GOLD[0], "FROM orders ORDER BY o_orderkey LIMIT 30")),
+    ("changed", GOLD, (["o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 1000 = 7 THEN 'X' ELSE o_orderstatus END"], GOLD[1])),
+    ("repeated", (["o_orderstatus"], "FROM orders"), (["DISTINCT o_orderstatus"], "FROM orders")),
+    ("wider", (["o_orderkey"], "FROM orders"), (["o_orderkey", "o_custkey"], "FROM orders")),
 )
 
 
+def statement(columns: list[str], rest: str) -> str:
+    return "SELECT " + ", ".join(f"{c} AS c{k}" for k, c in enumerate(columns)) + f" {rest}"
+
+
 def verdicts(spark, d, agree) -> DataFrame:
-    engine = Engine.over(spark, d, ("nation",))
-    return rows(spark, [(name, agree(engine.execute(g).df, engine.execute(m).df, g)) for name, g, m in PAIRS], "pair string, agrees boolean")
+    engine = Engine.over(spark, d, ("orders",))
+    return rows(spark, [(name, agree(engine.execute(statement(*g)).df, engine.execute(statement(*m)).df, statement(*g))) for name, g, m in PAIRS], "pair string, agrees boolean")
+
+
+def verdict_sql(order: str = "ignore", distinct: bool = False, by_value: bool = False) -> str:
+    """Whether the pairs agree, by set operations on their rows; order counts by numbering them."""
 
+    def agrees(g, m) -> str:
+        width, strict = len(g[0]), order == "strict" or order == "auto" and "ORDER BY" in g[1]
+        if width != len(m[0]):
+            return "false"
+        place, minus = (", row_number() OVER () AS rn" if strict else ""), "EXCEPT" if distinct and not strict else "EXCEPT ALL"
+        side = lambda q, columns: "SELECT " + ", ".join(f"CAST(c{k} AS VARCHAR) AS v{i}" for i, k in enumerate(columns)) + f"{place} FROM ({statement(*q)})"
+        one = side(g, range(width))
+        return " OR ".join(f"(NOT EXISTS ({one} {minus} {other}) AND NOT EXISTS ({other} {minus} {one}))" for columns in (permutations(range(width)) if by_value else [range(width)]) for other in [side(m, columns)])
 
-def verdict_sql(*agree: bool) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {str(a).lower()})" for (name, _, _), a in zip(PAIRS, agree, strict=True)) + ") v(pair, agrees)"
+    return " UNION ALL ".join(f"SELECT '{name}' AS pair, {agrees(g, m)} AS agrees" for name, g, m in PAIRS)
 
 
-@query(verdict_sql(True, False, False, False, False, False))
+@query(verdict_sql("strict"))
 def ex_ordered(spark, d):
     return verdicts(spark, d, lambda g, m, s: ExecutionAccuracy(row_order="strict").agrees(g, m, s))
 
 
-@query(verdict_sql(True, True, False, False, True, False))
+@query(verdict_sql(distinct=True))
 def ex_set(spark, d):
     return verdicts(spark, d, lambda g, m, s: ExecutionAccuracy("ignore", "set").agrees(g, m, s))
 
 
-@query(verdict_sql(True, True, False, False, False, False))
+@query(verdict_sql())
 def ex_multiset(spark, d):
     return verdicts(spark, d, lambda g, m, s: ExecutionAccuracy("ignore").agrees(g, m, s))
 
 
-@query(verdict_sql(True, True, True, False, False, False))
+@query(verdict_sql(by_value=True))
 def ex_by_value(spark, d):
     return verdicts(spark, d, lambda g, m, s: ExecutionAccuracy("ignore", columns="by_value").agrees(g, m, s))
 
 
-@query(verdict_sql(True, False, True, False, False, False))
+@query(verdict_sql("auto", by_value=True))
 def ex_spider_preset(spark, d):
     return verdicts(spark, d, SPIDER.agrees)
 
 
-@query(verdict_sql(True, True, False, False, True, False))
+@query(verdict_sql(distinct=True))
 def ex_bird_preset(spark, d):
     return verdicts(spark, d, BIRD.agrees)
 
@@ -375,7 +396,15 @@ def ex_diff_counts(spark, d):
     return multiset.unionByName(diff.bag_counts(g.distinct(), m.distinct(), g.columns).withColumn("mode", F.lit("set"))).select("mode", "missing", "extra")
 
 
-@query("SELECT * FROM (VALUES (0, 2), (1, 0), (2, 1)) v(gold, model)")
+def _same_columns_sql() -> str:
+    """Which columns hold the same bags of values, by set operations on each pair."""
+    gold, model = ["o_orderkey", "o_custkey", "o_orderpriority"], ["o_custkey", "o_orderpriority", "o_orderkey"]
+    column = lambda c: f"SELECT CAST({c} AS VARCHAR) FROM orders"
+    pairs = [f"SELECT {i} AS gold, {j} AS model WHERE NOT EXISTS ({column(a)} EXCEPT ALL {column(b)}) AND NOT EXISTS ({column(b)} EXCEPT ALL {column(a)})" for i, a in enumerate(gold) for j, b in enumerate(model)]
+    return " UNION ALL ".join(pairs)
+
+
+@query(_same_columns_sql())
 def column_fingerprint(spark, d):
     o = by_position(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     m = by_position(table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"))
@@ -390,7 +419,10 @@ PLANS = (
     ("cte", "SELECT n_name FROM nation WHERE n_regionkey = 1", "WITH x AS (SELECT * FROM nation WHERE n_regionkey = 1) SELECT n_name FROM x", True),
     ("in_order", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 2, 3)", "SELECT n_name FROM nation WHERE n_regionkey IN (3, 1, 2)", True),
     ("implied_bound", "SELECT n_name FROM nation WHERE n_regionkey > 3 AND n_regionkey > 1", "SELECT n_name FROM nation WHERE n_regionkey > 3", True),
-    ("solved", "SELECT n_name FROM nation WHERE 0 - n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = -1", True),
+    ("solved", "SELECT n_name FROM nation WHERE 3L - CAST(n_regionkey AS SMALLINT) > 1L", "SELECT n_name FROM nation WHERE CAST(n_regionkey AS SMALLINT) < 2", True),
+    ("may_overflow", "SELECT n_name FROM nation WHERE 0 - n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = -1", False),
+    ("rounded", "SELECT c_name FROM customer WHERE 0.3D - c_acctbal = 0.2D", "SELECT c_name FROM customer WHERE c_acctbal = 0.1D", False),
+    ("like_a_condition", "SELECT n_name FROM nation WHERE n_name = 'x AND n_regionkey = 1'", "SELECT n_name FROM nation WHERE n_name = 'x' AND n_regionkey = 1", False),
     ("other_name", "SELECT n_name AS a FROM nation", "SELECT n_name AS b FROM nation", False),
     ("other_order", "SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation ORDER BY n_name DESC", False),
     ("distinct", "SELECT n_regionkey FROM nation", "SELECT DISTINCT n_regionkey FROM nation", False),
@@ -402,7 +434,7 @@ PLANS = (
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{'equivalent' if same else 'unknown'}')" for n, _, _, same in PLANS) + ") v(pair, verdict)")
 def plan_equivalence(spark, d):
-    own = Engine.over(spark, d, ("nation",)).spark
+    own = Engine.over(spark, d, ("nation", "customer")).spark
     return rows(spark, [(name, equivalent(own, a, b)) for name, a, b, _ in PLANS], "pair string, verdict string")
 
 

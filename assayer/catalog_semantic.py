@@ -124,8 +124,18 @@ def sl_spec_equivalence(spark: SparkSession, d: str) -> DataFrame:
 def sl_result_equivalence(spark: SparkSession, d: str) -> DataFrame:
     own = session(spark, d)
     case = MetricCase("c", "?", MetricQuery(("revenue",), ("order_status",)))
-    asked = (("renamed", MetricQuery(("revenue",), ("order__order_status",))), ("wider", MetricQuery(("revenue", "orders"), ("order_status",))), ("other", MetricQuery(("orders",), ("order_status",))))
-    found = [(n, ResultEquivalence(compiler()).score(own, case, q).verdict) for n, q in asked]
+    nobody = "{{ Dimension('order__order_status') }} = 'nothing'"
+    empty = MetricCase("e", "?", MetricQuery(("revenue",), ("order_status",), (nobody,)))
+    asked = (
+        ("renamed", case, MetricQuery(("revenue",), ("order__order_status",))),
+        ("wider", case, MetricQuery(("revenue", "orders"), ("order_status",))),
+        ("finer", case, MetricQuery(("revenue",), ("order_status", "metric_time__year"))),
+        ("other", case, MetricQuery(("orders",), ("order_status",))),
+        ("both_empty", empty, MetricQuery(("revenue", "orders"), ("order_status",), (nobody,))),
+        ("one_empty", empty, MetricQuery(("revenue",), ("order_status",))),
+        ("means_nothing", case, MetricQuery(("nothing",))),
+    )
+    found = [(n, ResultEquivalence(compiler()).score(own, c, q).verdict) for n, c, q in asked]
     return spark.createDataFrame(found, "spec string, verdict string")
 
 
@@ -133,5 +143,5 @@ QUERIES = {k: v[0] for k, v in _BOTH.items()} | {f.__name__: f for f in (sl_grou
 ORACLES = {k: v[1] for k, v in _BOTH.items()} | {
     "sl_group_by_items": "SELECT unnest(['customer__segment', 'metric_time', 'order', 'order__is_large', 'order__order_status', 'order__ordered_at', 'return_flag', 'shipped_at']) AS name",
     "sl_spec_equivalence": "SELECT * FROM (VALUES ('same', 'pass', 'proven'), ('other_order', 'pass', 'proven'), ('other_dimension', 'inconclusive', NULL), ('means_nothing', 'fail', 'proven')) v(spec, verdict, basis)",
-    "sl_result_equivalence": "SELECT * FROM (VALUES ('renamed', 'pass'), ('wider', 'pass'), ('other', 'fail')) v(spec, verdict)",
+    "sl_result_equivalence": "SELECT * FROM (VALUES ('renamed', 'pass'), ('wider', 'pass'), ('finer', 'fail'), ('other', 'fail'), ('both_empty', 'pass'), ('one_empty', 'fail'), ('means_nothing', 'inconclusive')) v(spec, verdict)",
 }
