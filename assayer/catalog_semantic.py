@@ -141,7 +141,7 @@ def sl_result_equivalence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: v[0] for k, v in _BOTH.items()} | {f.__name__: f for f in (sl_group_by_items, sl_spec_equivalence, sl_result_equivalence)}
 ORACLES = {k: v[1] for k, v in _BOTH.items()} | {
-    "sl_group_by_items": "SELECT unnest(['customer__segment', 'metric_time', 'order', 'order__is_large', 'order__order_status', 'order__ordered_at', 'return_flag', 'shipped_at']) AS name",
+    "sl_group_by_items": "SELECT unnest(['metric_time', 'order__customer__segment', 'order__is_large', 'order__order_status', 'order__ordered_at', 'return_flag', 'shipped_at']) AS name",
     "sl_spec_equivalence": "SELECT * FROM (VALUES ('same', 'pass', 'proven'), ('other_order', 'pass', 'proven'), ('other_dimension', 'inconclusive', NULL), ('means_nothing', 'fail', 'proven')) v(spec, verdict, basis)",
     "sl_result_equivalence": "SELECT * FROM (VALUES ('renamed', 'pass'), ('wider', 'pass'), ('finer', 'fail'), ('other', 'fail'), ('both_empty', 'pass'), ('one_empty', 'fail'), ('means_nothing', 'inconclusive')) v(spec, verdict)",
 }

@@ -21,6 +21,11 @@ def translate(error: Exception) -> ExecutionError:
     return ExecutionError("query_failed", str(error) or type(error).__name__)
 
 
+def disconnected(error: ExecutionError) -> bool:
+    """Whether the platform was lost rather than the statement wrong: connection states (08...), or a stopped session."""
+    return (error.sqlstate or "").startswith("08") or error.kind == "platform_unavailable" or "SparkContext was shut down" in error.message or "stopped SparkContext" in error.message
+
+
 def twin_columns(names: list[str]) -> list[str]:
     return sorted({n for n in names if names.count(n) > 1})
 
@@ -120,7 +125,8 @@ class Engine:
         return rows[0][0], None
 
     def healthy(self) -> bool:
-        return self.scalar("SELECT 1")[0] == 1
+        """Whether the session answers; a stopped one does not."""
+        return self.spark.sparkContext._jsc is not None and self.scalar("SELECT 1")[0] == 1
 
 
 def run_many(work: list[Callable[[], Any]], threads: int = 1) -> list[Any]:

@@ -24,10 +24,21 @@ class Table:
     columns: tuple[tuple[str, str | None], ...]
     description: str = ""
     sql: str | None = None
+    notes: tuple[tuple[str, str], ...] = ()  # descriptions of columns
 
     def ddl(self) -> str:
-        body = ",\n".join(f"  {n} {t}" if t else f"  {n}" for n, t in self.columns)
-        return (f"-- {self.description}\n" if self.description else "") + f"CREATE TABLE {self.relation} (\n{body}\n)"
+        """A statement with a line for each column, and what is written about table and columns as comments."""
+        notes, last = dict(self.notes), len(self.columns) - 1
+        lines = [f"  {n}{f' {t}' if t else ''}{',' if k < last else ''}{f'  -- {notes[n]}' if notes.get(n) else ''}" for k, (n, t) in enumerate(self.columns)]
+        return "\n".join([*([f"-- {self.description}"] if self.description else []), f"CREATE TABLE {self.relation} (", *lines, ");"])
+
+
+class ProjectError(ValueError):
+    """kind: target_not_found, artifact_invalid or unsupported_schema_version."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
 
 
 @dataclass(frozen=True)
@@ -46,16 +57,19 @@ class Project:
     def read(cls, target: str) -> Project:
         """manifest.json of a folder, with catalog.json and semantic_manifest.json where they are there."""
         raw = _json(target, "manifest.json")
-        version = re.search(r"/v(\d+)\.json$", (raw.get("metadata") or {}).get("dbt_schema_version", ""))
-        if version and int(version[1]) < OLDEST:
-            raise ValueError(f"manifest version {version[1]} is older than {OLDEST}")
+        said = (raw.get("metadata") or {}).get("dbt_schema_version")
+        if not isinstance(said, str):
+            raise ProjectError("artifact_invalid", "manifest.json does not say its schema version")
+        version = re.search(r"v(\d+)(\.json)?$", said)
+        if not version or int(version[1]) < OLDEST:
+            raise ProjectError("unsupported_schema_version", f"manifest version {said} is older than {OLDEST} or none")
         catalog = _json(target, "catalog.json", {})
         known = {**catalog.get("nodes", {}), **catalog.get("sources", {})}
         project = cls()
         for uid, n in {**raw.get("nodes", {}), **raw.get("sources", {})}.items():
             kind = n.get("resource_type")
             if kind in ("model", "source", "seed", "snapshot"):
-                project.tables[uid] = Table(uid, n["name"], "source" if kind == "source" else "model", n.get("relation_name") or n.get("alias") or n["name"], _columns(n, known.get(uid)), n.get("description") or "", n.get("compiled_code"))
+                project.tables[uid] = Table(uid, n["name"], "source" if kind == "source" else "model", n.get("relation_name") or n.get("alias") or n["name"], _columns(n, known.get(uid)), n.get("description") or "", n.get("compiled_code"), tuple((c["name"], c["description"]) for c in n.get("columns", {}).values() if c.get("description")))
             elif kind == "test" and (meta := n.get("test_metadata") or {}).get("name") in ("not_null", "unique"):
                 owner = n.get("attached_node") or next(iter(n.get("depends_on", {}).get("nodes", [])), "")
                 project.checks.append(Check(owner, Expectation(meta["name"], (meta.get("kwargs") or {}).get("column_name") or n.get("column_name"))))
@@ -72,9 +86,22 @@ class Project:
             raise KeyError(f"{len(found)} tables are named {name}")
         return found[0]
 
-    def context(self, select: list[str] | None = None) -> str:
+    def context(self, select: list[str] | None = None, sources: bool = True, models: bool = True) -> str:
+        """The tables as text for a prompt, sources first; `select`: only these, by name or unique id."""
+        kinds = [k for k, wanted in (("source", sources), ("model", models)) if wanted]
         chosen = [self.table(n) for n in select] if select is not None else list(self.tables.values())
-        return "\n\n".join(t.ddl() for t in chosen)
+        return "\n\n".join(t.ddl() for kind in kinds for t in chosen if t.kind == kind)
+
+    def semantic_context(self) -> str:
+        """Metrics, and each semantic model's entities, dimensions and measures, as text for a prompt."""
+        if self.semantic is None:
+            return ""
+        lines = ["metrics: " + ", ".join(f"{m.name} ({m.kind})" for m in self.semantic.metrics.values())]
+        for model in self.semantic.models.values():
+            lines += [f"model {model.name}", "  entities: " + ", ".join(f"{e.name} ({e.kind})" for e in model.entities)]
+            lines += ["  dimensions: " + ", ".join(f"{d.name} ({d.kind}{f' by {d.grain}' if d.kind == 'time' else ''})" for d in model.dimensions)] if model.dimensions else []
+            lines += ["  measures: " + ", ".join(f"{m.name} ({m.agg})" for m in model.measures)] if model.measures else []
+        return "\n".join(lines)
 
     # Cases
 
@@ -108,9 +135,17 @@ _REQUIRED = object()
 
 def _json(folder: str, name: str, default=_REQUIRED):
     path = Path(folder) / name
-    if not path.exists() and default is not _REQUIRED:
+    if not path.is_file():
+        if default is _REQUIRED:
+            raise ProjectError("target_not_found", f"no {name} in {folder}")
         return default
-    return json.loads(path.read_text(encoding="utf-8"))
+    try:
+        found = json.loads(path.read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        raise ProjectError("artifact_invalid", f"{path} can't be read: {e}") from e
+    if not isinstance(found, dict):
+        raise ProjectError("artifact_invalid", f"{path} is no JSON object")
+    return found
 
 
 def _columns(node: dict, catalog: dict | None) -> tuple[tuple[str, str | None], ...]:

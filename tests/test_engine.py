@@ -1,12 +1,12 @@
 import pytest
 
 from assayer import benchmark
-from assayer.model import EvalCase, Expectation, ExpectationSuite, GoldQuery, canonical_type
+from assayer.model import EvalCase, ExecutionError, Expectation, ExpectationSuite, GoldQuery, canonical_type
 from assayer.operators import expect
 from assayer.plans.equivalence import equivalent, unstable
 from assayer.score import Expectations, FirstDecisive, Judge, ResultSetEquivalence, SemanticEquivalence, judged_equivalence, observed_equivalence
 from assayer.sources import cases
-from assayer.sources.engine import Budget, Engine, ddl, run_many
+from assayer.sources.engine import Budget, Engine, ddl, disconnected, run_many
 from assayer.streaming.expectations import windowed_checks
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,8 @@ def test_errors_are_values(engine):
     assert engine.execute("SELECT 1 AS x, 2 AS x").error.kind == "duplicate_columns"
     assert engine.scalar("SELECT NULL AS x") == (None, None)
     assert engine.scalar("SELECT 1 AS a, 2 AS b")[1].kind == engine.scalar("SELECT 1 AS a WHERE false")[1].kind == "query_failed"
-    assert engine.healthy()
+    assert engine.healthy() and not disconnected(lost)
+    assert disconnected(ExecutionError("query_failed", "gone", "08006")) and disconnected(ExecutionError("query_failed", "Cannot call methods on a stopped SparkContext"))
 
 
 def test_budgets(engine):

@@ -159,7 +159,7 @@ def test_project_commands(spark, tmp_path, capsys):
             con.execute(f"CREATE TABLE {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     (at / "target").mkdir()
     nodes = {"model.p.n": {"resource_type": "model", "name": "n", "description": "How many orders?", "compiled_code": "SELECT count(o_orderkey) AS n FROM orders"}}
-    (at / "target" / "manifest.json").write_text(json.dumps({"metadata": {}, "nodes": nodes}))
+    (at / "target" / "manifest.json").write_text(json.dumps({"metadata": {"dbt_schema_version": "https://x/manifest/v12.json"}, "nodes": nodes}))
     (at / "target" / "semantic_manifest.json").write_text(json.dumps(MANIFEST))
     llm = f"{__name__}:Llm"
     assert cli.main(["dbt-bench", str(at), "--mode", "model", "--llm", llm, "--json", str(at / "out.json")]) == 0

@@ -67,6 +67,21 @@ def test_names_that_mean_nothing(shop):
     assert references("{{ TimeDimension('metric_time', 'month') }} > 1 and {{Dimension('a__b')}} = 2") == [("{{ TimeDimension('metric_time', 'month') }}", "metric_time__month"), ("{{Dimension('a__b')}}", "a__b")]
 
 
+def test_names_to_group_by():
+    """Every entity on the way is named; a further join to a dimension of the same name is left out."""
+    manifest = {
+        "semantic_models": [
+            {"name": "premiums", "node_relation": {"alias": "p"}, "entities": [{"name": "premium", "type": "primary"}, {"name": "policy", "type": "foreign"}], "dimensions": [{"name": "kind", "type": "categorical"}], "measures": [{"name": "total", "agg": "sum", "expr": "x", "create_metric": True}]},
+            {"name": "policies", "node_relation": {"alias": "q"}, "entities": [{"name": "policy", "type": "primary"}, {"name": "party", "type": "foreign"}], "dimensions": [{"name": "party_name", "type": "categorical"}], "measures": []},
+            {"name": "parties", "node_relation": {"alias": "r"}, "entities": [{"name": "party", "type": "primary"}], "dimensions": [{"name": "party_name", "type": "categorical"}, {"name": "country", "type": "categorical"}], "measures": []},
+        ],
+        "metrics": [],
+    }
+    compiler = Compiler(Manifest.parse(manifest))
+    assert compiler.group_by_items("total") == ["policy__party__country", "policy__party_name", "premium__kind"]
+    assert compiler.canonical(MetricQuery(("total",), ("policy__party__country",))) == compiler.canonical(MetricQuery(("total",), ("policy__party__country",)))
+
+
 def test_verdicts(shop):
     compiler = Compiler(Manifest.parse(MANIFEST))
     case = MetricCase("c", "?", MetricQuery(("revenue",), ("order_status",)))
