@@ -23,7 +23,6 @@ from assayer.llm.storage import Scratch
 from assayer.llm.text import BY_SPACE, distinct, shingles, tokens
 
 SKETCH_BITS, BLOCKS = 20, 64
-PAIRS_A_TASK = 2_000
 WORDS = 8  # of 64 bits: ranges of hashes, whose counts the suffix filter compares by their parity
 _U = np.uint64
 
@@ -212,7 +211,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
         # A pair may come up again the other way round.
         tried = tried.unionByName(best.select("a", "b")).unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = best.count()
-        new = scratch.keep(verify(best, some, width, percent), "links", pairs, PAIRS_A_TASK)
+        new = scratch.keep(verify(best, some, width, percent), "links")
         links = scratch.keep(links.unionByName(new), "links", found + pairs)
         spent += [new, links]
         before, found = found, links.count()
@@ -225,17 +224,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
             break
 
     # All pairs that are left: in one list, in different components, and by their profiles near enough.
-    shown = scratch.keep(lists.join(profiles, lists["id"] == profiles["node"]).drop("node"), "profiles", size)
+    shown = scratch.keep(lists.join(profiles, lists["id"] == profiles["node"]).drop("node"), "profiles")
     left, right = shown.alias("l"), shown.alias("r")
     near = suffix_filter(F.col("l.n"), F.col("r.n"), apart(F.col("l.profile"), F.col("r.profile")), percent)
     pairs = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & may_link("l", "r", percent) & near)
     pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-    rest = scratch.keep(verify(pairs, some, width, percent), "links", pairs.count(), PAIRS_A_TASK)
+    rest = scratch.keep(verify(pairs.join(tried, ["a", "b"], "left_anti"), some, width, percent), "links")
     if not rest.isEmpty():
         roots = components(links.unionByName(rest), scratch)
 
-    scratch.drop(lists, shown, pairs, rest, *spent)
+    scratch.drop(lists, shown, rest, *spent)
     placed = nodes.join(roots, nodes["node"] == roots["id"], "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return summary.join(placed, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

@@ -40,7 +40,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t", rows: int | None = None, rows_a_file: int = 100_000, **options: int | str) -> DataFrame:
         """Write `df` and read it again: later plans start at the files, not at `df`'s lineage.
 
-        rows: as many as `df` may have, where that is known: a small table then is a few files, not one for each task.
+        rows: as many as `df` may have, where that is known and its last stage reads no more than that: a small table then is a
+        few files, not one for each task.
         """
         self.count += 1
         at = f"{self.root}/{self.count:03d}-{name}"
