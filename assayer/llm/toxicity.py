@@ -58,14 +58,14 @@ def choose_terms(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits:
 
 
 def fit_machine(
-    index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 4, rate: float = 2.0, pair_rate: float = 0.05, l1: float = 4.0, l2: float = 0.1, batch: int = 32, least_steps: int = 300,
+    index: np.ndarray, bounds: np.ndarray, label: np.ndarray, bits: int, factors: int = 8, rounds: int = 4, rate: float = 2.0, pair_rate: float = 0.05, l1: float = 8.0, l2: float = 0.1, batch: int = 32, least_steps: int = 300,
     least_rows: int = 1, most_terms: int | None = None, least_chi: float = 0.0, folds: int = 4, seed: int = 11,
 ) -> ToxicityModel:
     """Follow-the-regularised-leader on the logistic loss of the machine; small samples are gone through more often.
 
     Every term of the sample takes part, unless the caller sets one of the three limits. Weights alone are fitted first, for
     each fold on the other ones; pairs that they leave unexplained in rows they have not seen give the factors to start
-    from (`pair_factors`). Terms whose weight and factors end as zeros add nothing to a score and get slot -1.
+    from (`pair_factors`), if such pairs prove themselves: found on some folds, they have to lower the loss on the others. Terms whose weight and factors end as zeros add nothing to a score and get slot -1.
     """
     random = np.random.Generator(np.random.PCG64(seed))
     if least_rows <= 1 and most_terms is None and least_chi <= 0:
@@ -80,20 +80,47 @@ def fit_machine(
     at = at.astype(np.int32)
     settings = (rounds, rate, pair_rate, l1, l2, batch, least_steps)
     fold, error = random.permutation(len(label)) % folds, np.zeros(len(label))
-    for k in range(folds if len(label) >= folds else 0):
-        w, _, bias = _descend(at, ends, label, np.flatnonzero(fold != k), np.zeros((len(chosen), 0)), random, *settings)
-        for first in range(0, len(label), 1024):
-            some = slice(first, first + 1024)
-            own = ends[first : first + 1025]
-            logit = bias + row_sums(w[at[own[0] : own[-1]]], own - own[0])
-            error[some] = np.where(fold[some] == k, 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[some], error[some])
-    w, v, bias = _descend(at, ends, label, np.arange(len(label)), pair_factors(at, ends, error, factors, len(chosen)), random, *settings)
+    parts = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds if len(label) >= folds else 0)]
+    none = np.zeros((len(chosen), 0))
+    for rest, own in parts:
+        w, _, bias = _descend(at, ends, label, rest, none, random, *settings)
+        error[own] = _chance(at, ends, own, w, none, bias) - label[own]
+    start = pair_factors(at, ends, error, factors, len(chosen))
+    if start.any() and parts:
+        # Pairs stay if, found without a fold's rows, they tell more about these rows than weights alone do.
+        gain = 0.0
+        for rest, own in parts:
+            w, v, bias = _descend(at, ends, label, rest, pair_factors(at, ends, np.where(np.isin(np.arange(len(label)), own), 0, error), factors, len(chosen)), random, *settings)
+            gain += _loss(error[own] + label[own], label[own]) - _loss(_chance(at, ends, own, w, v, bias), label[own])
+        if gain <= 0:
+            start = np.zeros_like(start)
+    w, v, bias = _descend(at, ends, label, np.arange(len(label)), start, random, *settings)
     kept = (w != 0) | v.any(axis=1)
     slot = np.full(1 << bits, -1, dtype=np.int32)
     slot[chosen[kept]] = np.arange(np.count_nonzero(kept))
     return ToxicityModel(slot, w[kept], v[kept], bias)
 
 
+def _chance(at: np.ndarray, ends: np.ndarray, rows: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
+    """The machine's scores of these rows, some at a time."""
+    out = np.zeros(len(rows))
+    for first in range(0, len(rows), 1024):
+        some = rows[first : first + 1024]
+        size = ends[some + 1] - ends[some]
+        own = np.concatenate(([0], np.cumsum(size)))
+        i = at[np.repeat(ends[some] - own[:-1], size) + np.arange(own[-1])]
+        logit = bias + row_sums(w[i], own)
+        if v.any():
+            logit += ((row_sums(v[i], own) ** 2).sum(axis=1) - row_sums((v[i] ** 2).sum(axis=1), own)) / 2
+        out[first : first + len(some)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    return out
+
+
+def _loss(chance: np.ndarray, label: np.ndarray) -> float:
+    chance = np.clip(chance, 1e-6, 1 - 1e-6)
+    return float(-(label * np.log(chance) + (1 - label) * np.log(1 - chance)).sum())
+
+
 def _descend(at: np.ndarray, ends: np.ndarray, label: np.ndarray, rows: np.ndarray, v: np.ndarray, random: np.random.Generator, rounds: int, rate: float, pair_rate: float, l1: float, l2: float, batch: int, least_steps: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, factors and bias from these rows, with factors that start as `v`; where none does, weights alone."""
     share = np.clip(label[rows].mean(), 1e-3, 1 - 1e-3) if len(rows) else 0.5
