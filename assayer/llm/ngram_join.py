@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,19 +70,26 @@ def summaries(docs: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame,
 
     kept = scratch.keep(docs.mapInArrow(summarise, "id bigint, n bigint, digest binary, profile array<bigint>, block int, counts binary"), "summaries")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts.as_buffer()), dtype="<i4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
-
-    # The blocks of each task are added up where they are, then by block.
-    parts = kept.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
+    def add(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts.as_buffer()), dtype=kind).astype(np.int64)
+            packed = [zlib.compress(v.astype("<i8").tobytes(), 1) for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+        return run
+
+    # The counts of a few hundred tasks are added up, by block; then these sums are.
+    parts = kept.where("block is not null").select("block", "counts")
+    groups = max(1, -(-parts.where("block = 0").count() // 256))
+    some = parts.repartition(BLOCKS * groups, "block", F.pmod(F.xxhash64("counts"), F.lit(groups))).mapInArrow(add("<i4"), "block int, counts binary")
     frequency = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     each = (1 << SKETCH_BITS) // BLOCKS
-    for r in parts:
-        frequency[r["block"] * each : (r["block"] + 1) * each] += np.frombuffer(r["counts"], dtype=np.int64)
+    for r in some.repartition(BLOCKS, "block").mapInArrow(add("<i8"), "block int, counts binary").collect():
+        frequency[r["block"] * each : (r["block"] + 1) * each] += np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
     level = np.minimum(255, np.round(8 * np.log2(1 + frequency))).astype(np.uint8)
     return kept.where("block is null").select("id", "n", "digest", "profile"), level
 
