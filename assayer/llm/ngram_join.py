@@ -171,7 +171,7 @@ def _rows(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, int]]:
             yield value[a:b], b - a
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, rounds: int = 3, tries: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, rounds: int = 2, tries: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row: the components of the links of at least `percent` % similarity.
 
     Documents of equal sets are one node, the smallest of their ids. Nodes whose prefixes share an n-gram are
@@ -203,7 +203,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
 
     links = tried = spark.createDataFrame([], "a bigint, b bigint")
     spent = [some]
-    roots = components(links, scratch)
+    roots = spark.createDataFrame([], "id bigint, root bigint")
     found, size = 0, lists.count()
     for k in range(rounds):
         # Any member may stand for its list, another one in each round: members of large components mostly, and so most nodes soon meet a partner.
@@ -217,10 +217,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, width: int = 5, percen
         spent.append(best)
         # A pair may come up again the other way round.
         tried = tried.unionByName(best.select("a", "b")).unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = best.count()
         new = scratch.keep(verify(best, some, width, percent), "links")
-        links = scratch.keep(links.unionByName(new), "links", found + pairs)
-        spent += [new, links]
+        links = links.unionByName(new)
+        spent.append(new)
         before, found = found, links.count()
         if found == before:
             break

@@ -79,7 +79,7 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "shards")
-    placed = sharding.with_slots(sharding.kd_shards(_table(spark, sf_dir, "documents"), scratch, 8), scratch)
+    placed = sharding.with_slots(sharding.kd_shards(_table(spark, sf_dir, "documents"), scratch, 8))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -49,7 +49,7 @@ def split_nodes(placed: DataFrame, scratch: Scratch, scale: list[float]) -> Data
     widest = _spreads(bins).withColumn("wide", F.round(F.col("variance") / F.get(F.array(*[F.lit(x) for x in scale]), F.col("dim")), 9))
     widest = widest.groupBy("first", "m").agg(F.max(F.struct("wide", (-F.col("dim")).alias("back"), "bytes")).alias("x"))
     goal = (F.col("x.bytes").cast("decimal(38,0)") * F.floor(F.col("m") / 2) / F.col("m")).cast("bigint")
-    nodes = scratch.keep(widest.select("first", (-F.col("x.back")).alias("dim"), goal.alias("goal")), "nodes")
+    nodes = widest.select("first", (-F.col("x.back")).alias("dim"), goal.alias("goal"))
     upper = _first_past(bins.join(nodes, ["first", "dim"]), "bin").select("first", F.col("x.bin").alias("bin"), F.col("x.goal").alias("goal"))
     nodes = scratch.keep(nodes.drop("goal").join(upper, "first"), "nodes")
     fine = open_.join(nodes, "first").withColumn("at", F.get("c", F.col("dim"))).where(F.shiftright("at", BINS) == F.col("bin"))
@@ -94,14 +94,13 @@ def kd_shards(docs: DataFrame, scratch: Scratch, shards: int = 8, target_bytes:
     return placed.select("doc_id", "size", "text_crc32", "part", F.col("first").cast("int").alias("shard"))
 
 
-def with_slots(sharded: DataFrame, scratch: Scratch, rows_a_block: int = 20_000) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap.
+def with_slots(sharded: DataFrame, rows_a_block: int = 20_000) -> DataFrame:
+    """Number the rows of each shard from 0 without a gap. `sharded` is read three times: a written table, as `kd_shards` gives it.
 
     Rows are numbered within blocks of a shard, by hash and of bounded size, and a block starts where the ones
     before it end; the running sums are over blocks, not rows. `part` deals repeated rows to many blocks, rows with a null id
     too. An empty table stays empty.
     """
-    sharded = scratch.keep(sharded, "sharded")
     blocks = max(1, -(-sharded.count() // rows_a_block))
     rows = sharded.withColumn("block", F.pmod(F.xxhash64("part", "doc_id"), F.lit(blocks)))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))

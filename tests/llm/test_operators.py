@@ -401,16 +401,16 @@ def test_shards_are_even_and_gapless(spark):
 
 def test_shard_edges(spark):
     s = scratch(spark)
-    rows = sharding.with_slots(sharding.kd_shards(edge(spark), s, 3), s).collect()
+    rows = sharding.with_slots(sharding.kd_shards(edge(spark), s, 3)).collect()
     assert len(rows) == 7 and {r["shard"] for r in rows} <= {0, 1, 2}
-    assert sharding.with_slots(sharding.kd_shards(edge(spark).limit(0), s, 8), s).count() == 0
+    assert sharding.with_slots(sharding.kd_shards(edge(spark).limit(0), s, 8)).count() == 0
     same = frame(spark, [(k, "equal", "en", "one") for k in range(800)], "doc_id bigint, text string, lang string, source string")
     counts = sorted(r["count"] for r in sharding.kd_shards(same, s, 8).groupBy("shard").count().collect())
     assert len(counts) == 8 and counts[-1] - counts[0] <= 8
     by_target = sharding.kd_shards(same, s, target_bytes=600).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     assert len(by_target) == 8 and max(r["b"] for r in by_target) <= 660
     repeated = frame(spark, [(1, "equal", "en", "one")] * 800, "doc_id bigint, text string, lang string, source string").repartition(3)
-    rows = sharding.with_slots(sharding.kd_shards(repeated, s, 8), s, rows_a_block=50).collect()
+    rows = sharding.with_slots(sharding.kd_shards(repeated, s, 8), rows_a_block=50).collect()
     slots = [sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(8)]
     assert all(99 <= len(x) <= 101 and x == list(range(len(x))) for x in slots)
 
