@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 import threading
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -122,30 +125,123 @@ def _open(own: SparkSession, p: Platform) -> None:
         df.createOrReplaceTempView("`" + name.replace("`", "``") + "`")
 
 
+#: How many sessions of a kind are open at once, and how long one is waited for.
+SIZES, OTHERS, WAIT = {"duckdb": 8, "sqlite": 1}, 4, 30.0
+
+
+class Pool:
+    """At most `size` engines at a time, each in a session of its own, for cases that run side by side.
+
+    An engine is asked for a value before it is lent again; one that does not answer, or is older than `max_age` seconds, is
+    replaced. After `close` nothing is lent, and engines that are out go when they come back.
+    """
+
+    def __init__(self, open_: Callable[[], Engine], size: int = OTHERS, wait: float = WAIT, max_age: float | None = None):
+        self.open, self.size, self.wait, self.max_age = open_, size, wait, max_age
+        self._idle: list[tuple[Engine, float]] = []
+        self._out: dict[int, tuple[Engine, float]] = {}
+        self._opening, self._closed = 0, False
+        self._changed = threading.Condition()
+
+    def acquire(self) -> Engine:
+        with self._changed:
+            if not self._changed.wait_for(lambda: self._closed or self._idle or len(self._out) + self._opening < self.size, self.wait):
+                raise PlatformUnavailable(f"no session came free in {self.wait:g} s")
+            if self._closed:
+                raise PlatformUnavailable("the pool is closed")
+            kept = self._idle.pop() if self._idle else None
+            self._opening += 1
+        try:
+            if kept and not (self.max_age is not None and time.monotonic() - kept[1] > self.max_age) and kept[0].healthy():
+                engine = kept
+            else:
+                if kept:
+                    _forget(kept[0])
+                engine = self.open(), time.monotonic()
+        except BaseException:
+            with self._changed:
+                self._opening -= 1
+                self._changed.notify()
+            raise
+        with self._changed:
+            self._opening -= 1
+            self._out[id(engine[0])] = engine
+        return engine[0]
+
+    def release(self, engine: Engine) -> None:
+        with self._changed:
+            found = self._out.pop(id(engine), None)
+            if found is None:
+                raise ValueError("this engine is not lent by the pool")
+            if not self._closed:
+                self._idle.append(found)
+            self._changed.notify()
+        if self._closed:
+            _forget(engine)
+
+    @contextmanager
+    def lease(self) -> Iterator[Engine]:
+        engine = self.acquire()
+        try:
+            yield engine
+        finally:
+            self.release(engine)
+
+    def close(self) -> None:
+        with self._changed:
+            self._closed, idle, self._idle = True, self._idle, []
+            self._changed.notify_all()
+        for engine, _ in idle:
+            _forget(engine)
+
+
+def _forget(engine: Engine) -> None:
+    """Drop the session's views; a session that is gone has none."""
+    try:
+        for t in engine.spark.catalog.listTables():
+            if t.isTemporary:
+                engine.spark.catalog.dropTempView(t.name)
+    except Exception:  # noqa: S110
+        pass
+
+
 class Registry:
-    """One engine for each platform name. A name that stands for two configurations is refused."""
+    """One engine, and one pool of them, for each platform name. A name that stands for two configurations is refused."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._open: dict[str, tuple[Platform, Engine]] = {}
+        self._pools: dict[str, tuple[Platform, Pool]] = {}
         self._lock = threading.Lock()
 
+    def _only(self, platform: Platform) -> None:
+        for known in (self._open, self._pools):
+            if known.get(platform.name, (platform,))[0] != platform:
+                raise ValueError(f"platform {platform.name} has another configuration already")
+
+    def pool(self, platform: Platform) -> Pool:
+        """For cases that run side by side; `engine` is apart from it and never waits."""
+        with self._lock:
+            self._only(platform)
+            if platform.name not in self._pools:
+                self._pools[platform.name] = platform, Pool(lambda: connect(self.spark, platform), SIZES.get(platform.kind, OTHERS))
+            return self._pools[platform.name][1]
+
     def engine(self, platform: Platform) -> Engine:
         with self._lock:
+            self._only(platform)
             if platform.name not in self._open:
                 self._open[platform.name] = platform, connect(self.spark, platform)
-            known, engine = self._open[platform.name]
-            if known != platform:
-                raise ValueError(f"platform {platform.name} has another configuration already")
-            return engine
+            return self._open[platform.name][1]
 
     def close_all(self) -> None:
         with self._lock:
             for _, engine in self._open.values():
-                for t in engine.spark.catalog.listTables():
-                    if t.isTemporary:
-                        engine.spark.catalog.dropTempView(t.name)
+                _forget(engine)
+            for _, pool in self._pools.values():
+                pool.close()
             self._open.clear()
+            self._pools.clear()
 
 
 class ProfileError(ValueError):

@@ -173,3 +173,48 @@ def test_windowed_checks(spark, tmp_path):
     run = windowed_checks(stream, "ts", ("value",), "1 day").writeStream.format("memory").queryName("checks").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted(spark.table("checks").collect()) == sorted(batch.collect())
+
+
+def random_predicate(r, depth=2):
+    """A predicate and a rewriting of it: often the same condition, at times another one."""
+    if depth and r.random() < 0.6:
+        (a, x), (b, y) = random_predicate(r, depth - 1), random_predicate(r, depth - 1)
+        word = r.choice(["AND", "AND", "OR"])
+        return f"({a} {word} {b})", (f"({y} {word} {x})" if r.random() < 0.9 else f"({y} {r.choice(['AND', 'OR'])} {x})")
+    column, op = r.choice(["a", "b", "h", "d", "m"]), r.choice(["<", "<=", ">", ">=", "="])
+    flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+    n = {"d": lambda: r.choice(["0.1D", "0.5D", "0.3D", "-1.0D", "2.0D"]), "m": lambda: r.choice(["0.1", "0.25", "1.00"])}.get(column, lambda: str(r.randrange(-3, 5)))
+    value, other = n(), n()
+    kind = r.randrange(7)
+    if kind == 0:
+        return f"{column} {op} {value}", f"{value} {flip[op]} {column}"
+    if kind == 1:
+        return f"{column} {op} {value}", f"{column} {r.choice([op, '<', '>='])} {value}"
+    if kind == 2:
+        return f"NOT ({column} {op} {value})", f"{column} { {'<': '>=', '<=': '>', '>': '<=', '>=': '<', '=': '<>'}[op]} {value}"
+    if kind == 3:
+        return f"({column} {op} {value} AND {column} {op} {other})", f"{column} {op} {r.choice([value, other])}"
+    if kind == 4 and column not in "dm":
+        return f"{value} - {column} {op} {other}", f"{column} {flip[op]} {int(value) - int(other)}"
+    if kind == 4:
+        return f"{value} - {column} {op} {other}", f"{column} {flip[op]} {value} - {other}"
+    if kind == 5:
+        return f"{column} + {value} {op} {other}", f"{column} {op} {other} - {value}"
+    return f"{column} IS NULL", f"NOT ({column} IS NOT NULL)"
+
+
+def test_nothing_is_confirmed_that_differs(plans):
+    """Random pairs of conditions; those that are confirmed hold on the same rows, with nulls, NaN, infinities and values at the edge."""
+    import random
+
+    r = random.Random(17)
+    doubles = ["double('NaN')", "double('Infinity')", "-0.0D", "0.1D", "0.2D", "0.09999999999999998D", "0.5D", "-1.0D", "CAST(NULL AS DOUBLE)"]
+    rows = [f"({r.choice(['NULL', *map(str, range(-3, 6))])}, {r.choice(['NULL', *map(str, range(-3, 6))])}, CAST({r.choice(['NULL', '-32768', '32767', *map(str, range(-3, 6))])} AS SMALLINT), {r.choice(doubles)}, CAST({r.choice(['NULL', '0.1', '0.15', '0.25', '1', '-1'])} AS DECIMAL(10, 2)))" for _ in range(150)]
+    plans.sql(f"SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, h, d, m FROM VALUES {', '.join(rows)} AS x(a, b, h, d, m)").createOrReplaceTempView("x")
+    pairs = [random_predicate(r) for _ in range(220)]
+    confirmed = [(p, q) for p, q in pairs if equivalent(plans, f"SELECT a FROM x WHERE {p}", f"SELECT a FROM x WHERE {q}") == "equivalent"]
+    assert 40 <= len(confirmed) < len(pairs)
+    for first in range(0, len(confirmed), 20):
+        some = confirmed[first : first + 20]
+        found = plans.sql("SELECT " + ", ".join(f"count_if(coalesce({p}, false) <> coalesce({q}, false)) AS c{k}" for k, (p, q) in enumerate(some)) + " FROM x").first()
+        assert [pair for k, pair in enumerate(some) if found[k]] == []

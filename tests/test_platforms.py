@@ -76,6 +76,48 @@ def test_registry(spark, shop):
     assert registry.engine(one).healthy()
 
 
+def test_pools(spark, shop):
+    opened = []
+
+    def open_():
+        opened.append(platforms.connect(spark, platforms.sqlite_platform("shop", shop)))
+        return opened[-1]
+
+    pool = platforms.Pool(open_, size=2, wait=0.2)
+    one, two = pool.acquire(), pool.acquire()
+    assert one is not two and one.spark is not two.spark
+    with pytest.raises(platforms.PlatformUnavailable, match="came free"):
+        pool.acquire()
+    pool.release(one)
+    with pool.lease() as again:
+        assert again is one and len(opened) == 2
+    one.healthy = lambda: False  # lost: replaced by another one
+    with pool.lease() as fresh:
+        assert fresh is not one and len(opened) == 3
+    with pytest.raises(ValueError):
+        pool.release(one)
+    pool.close()
+    pool.release(two)
+    assert two.spark.catalog.listTables() == []
+    with pytest.raises(platforms.PlatformUnavailable, match="closed"):
+        pool.acquire()
+    broken = platforms.Pool(lambda: 1 / 0, size=1, wait=0.2)
+    for _ in range(2):  # a failure to open takes no place
+        with pytest.raises(ZeroDivisionError):
+            broken.acquire()
+    aged = platforms.Pool(open_, size=1, max_age=0.0)
+    first = aged.acquire()
+    aged.release(first)
+    assert aged.acquire() is not first
+    registry = platforms.Registry(spark)
+    at = platforms.sqlite_platform("shop", shop)
+    assert registry.pool(at).size == 1 and registry.pool(at) is registry.pool(at)
+    with registry.pool(at).lease() as engine:
+        assert engine.healthy()
+    with pytest.raises(ValueError):
+        registry.engine(platforms.sqlite_platform("shop", "elsewhere"))
+
+
 def project(tmp_path, kind="duckdb"):
     (tmp_path / "dbt_project.yml").write_text("name: p\nprofile: shop\n")
     (tmp_path / "profiles.yml").write_text(f"shop:\n  target: dev\n  outputs:\n    dev: {{type: {kind}, path: db.duckdb, host: h, dbname: d, user: u, password: secret}}\n    other: {{type: oracle}}\n")
