@@ -146,22 +146,21 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 
 
 def lift(pcm: np.ndarray) -> bytes:
-    """16-bit samples for storage, without loss: every other one, then how far those between lie from the mean of their neighbours.
-
-    Samples that come from doubling a rate have nothing but zeros there, which a compressor takes out. Arithmetic is
-    modulo 2**16, so any samples can be stored.
+    """16-bit samples for storage, without loss: their number, every other one, then how far those between lie from the mean of their
+    neighbours, if any does. After doubling a rate none does. Arithmetic is modulo 2**16, so any samples can be stored.
     """
     even = pcm[0::2].astype(np.int32)
-    return even.astype("<i2").tobytes() + (pcm[1::2] - _between(even, len(pcm) // 2)).astype("<i2").tobytes()
+    rest = (pcm[1::2] - _between(even, len(pcm) // 2)).astype("<i2")
+    return struct.pack("<I", len(pcm)) + even.astype("<i2").tobytes() + (rest.tobytes() if rest.any() else b"")
 
 
 def unlift(stored: bytes) -> np.ndarray:
-    flat = np.frombuffer(stored, dtype="<i2").astype(np.int32)
-    n = len(flat)
+    n = int.from_bytes(stored[:4], "little")
+    flat = np.frombuffer(stored, dtype="<i2", offset=4).astype(np.int32)
     even = flat[: n - n // 2]
     out = np.empty(n, dtype=np.int16)
     out[0::2] = even
-    out[1::2] = flat[n - n // 2 :] + _between(even, n // 2)
+    out[1::2] = _between(even, n // 2) + (flat[n - n // 2 :] if len(flat) == n else 0)
     return out
 
 
@@ -267,7 +266,7 @@ def digests(stored: DataFrame) -> DataFrame:
                 payload = read_wav(file.to_pybytes())[4]
                 row = (
                     doc.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-                    file.size, hashlib.sha256(file).hexdigest(), describe(unlift(pcm.as_buffer())),
+                    file.size, hashlib.sha256(file).hexdigest(), describe(unlift(pcm.as_py())),
                 )
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
