@@ -393,7 +393,7 @@ UNION ALL SELECT 'set', (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCE
 def ex_diff_counts(spark, d):
     g, m = by_position(table(spark, d, "orders").select("o_custkey")), by_position(table(spark, d, "customer").select("c_custkey"))
     multiset = diff.bag_counts(g, m, g.columns).withColumn("mode", F.lit("multiset"))
-    return multiset.unionByName(diff.bag_counts(g.distinct(), m.distinct(), g.columns).withColumn("mode", F.lit("set"))).select("mode", "missing", "extra")
+    return multiset.unionByName(diff.bag_counts(g, m, g.columns, distinct=True).withColumn("mode", F.lit("set"))).select("mode", "missing", "extra")
 
 
 def _same_columns_sql() -> str:

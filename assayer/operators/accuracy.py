@@ -49,9 +49,7 @@ def by_position(df: DataFrame) -> DataFrame:
 
 
 def equal_bags(a: DataFrame, b: DataFrame, distinct: bool = False) -> bool:
-    if distinct:
-        a, b = a.distinct(), b.distinct()
-    row = bag_counts(a, b, a.columns).first()
+    row = bag_counts(a, b, a.columns, distinct).first()
     return row["missing"] == 0 and row["extra"] == 0
 
 

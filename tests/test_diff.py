@@ -32,6 +32,28 @@ def test_bags(spark, seed):
     assert Counter(map(tuple, diff.bag_sample(left, right, ["a", "b"], 50).collect())) == missing
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sets(spark, seed):
+    r = random.Random(100 + seed)
+    e, a = bag(r, r.randrange(25)), bag(r, r.randrange(9))
+    left, right = spark.createDataFrame(e, SCHEMA), spark.createDataFrame(a, SCHEMA)
+    row = diff.bag_counts(left, right, ["a", "b"], distinct=True).first()
+    assert (row["missing"], row["extra"]) == (len(set(e) - set(a)), len(set(a) - set(e)))
+    assert Counter(map(tuple, diff.bag_sample(left, right, ["a", "b"], 50, distinct=True).collect())) == Counter(set(e) - set(a))
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_one_table_of_rows_in_a_task(spark, distinct):
+    """Rows are dealt once and kept once in each stage, and orders that don't count aren't made."""
+    frames = [spark.sql(f"SELECT id AS a, CAST(id AS STRING) AS b FROM range(100) ORDER BY id {way}, {other}") for way, other in (("ASC", "b"), ("DESC", "a + 1"))]
+    found = diff.bag_counts(*frames, ["a", "b"], distinct)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("HashAggregate(keys=[c0") == 2 and "Sort" not in plan and "rangepartitioning" not in plan
+    assert tuple(found.first()) == (0, 0)
+    limited = diff.bag_counts(frames[0], frames[1].limit(30), ["a", "b"], distinct)  # an order below a limit counts
+    assert tuple(limited.first()) == (70, 0) and "70" in {r["b"] for r in diff.bag_sample(frames[1].limit(30), frames[0].limit(30), ["a", "b"], 40, distinct).collect()}
+
+
 def test_no_shared_columns(spark):
     df = spark.range(3)
     assert tuple(diff.bag_counts(df, df, []).first()) == (0, 0)
