@@ -117,9 +117,11 @@ def bijections(gold: list, model: list) -> Iterator[list[int]]:
     yield from extend([])
 
 
-def equal_by_value(gold: DataFrame, model: DataFrame, compare) -> bool:
-    """Whether some order of the model's columns makes the results equal. Two empty results are; an empty and another are not."""
-    both = fingerprints(gold).withColumn("gold", F.lit(True)).unionByName(fingerprints(model).withColumn("gold", F.lit(False)))
+def equal_by_value(gold: DataFrame, model: DataFrame, compare, distinct: bool = False) -> bool:
+    """Whether some order of the model's columns makes the results equal. Two empty results are; an empty and another are not.
+    distinct: `compare` takes them as sets, so fingerprints are those of their distinct rows."""
+    one, other = (fingerprints(df.distinct() if distinct else df) for df in (gold, model))
+    both = one.withColumn("gold", F.lit(True)).unionByName(other.withColumn("gold", F.lit(False)))
     found = sorted(both.collect(), key=lambda r: r["k"])  # a row for each column
     g, m = ([r for r in found if r["gold"] == side] for side in (True, False))
     sizes = g[0]["n"], m[0]["n"]
@@ -145,9 +147,7 @@ class ExecutionAccuracy:
         # Order, where it counts, says more than multiplicity.
         compare = equal_lists if strict else lambda a, b: equal_bags(a, b, self.multiplicity == "set")
         if self.columns == "by_value":
-            if self.multiplicity == "set" and not strict:
-                g, m = g.distinct(), m.distinct()
-            return equal_by_value(g, m, compare)
+            return equal_by_value(g, m, compare, self.multiplicity == "set" and not strict)
         return len(g.columns) == len(m.columns) and compare(g, m)
 
     def samples(self, gold: DataFrame, model: DataFrame) -> tuple[list, list]:
@@ -155,9 +155,8 @@ class ExecutionAccuracy:
         g, m = by_position(gold), by_position(model)
         if len(g.columns) != len(m.columns):
             return g.limit(SAMPLE).collect(), m.limit(SAMPLE).collect()
-        if self.multiplicity == "set":
-            g, m = g.distinct(), m.distinct()
-        return bag_sample(g, m, g.columns, SAMPLE).collect(), bag_sample(m, g, g.columns, SAMPLE).collect()
+        distinct = self.multiplicity == "set"
+        return bag_sample(g, m, g.columns, SAMPLE, distinct).collect(), bag_sample(m, g, g.columns, SAMPLE, distinct).collect()
 
 
 SPIDER = ExecutionAccuracy(columns="by_value")

@@ -6,7 +6,7 @@ from itertools import permutations
 
 import pytest
 
-from assayer.operators.accuracy import BIRD, SPIDER, ExecutionAccuracy, by_position, equal_lists, ordered, with_index
+from assayer.operators.accuracy import BIRD, SPIDER, ExecutionAccuracy, by_position, equal_by_value, equal_lists, ordered, with_index
 
 DOMAIN = [0, 1, 2, None]
 
@@ -57,6 +57,16 @@ def test_sets_are_not_made_distinct_first(spark, monkeypatch):
     assert BIRD.agrees(gold, model) and not BIRD.agrees(gold, other) and not ExecutionAccuracy("ignore").agrees(gold, model)
 
 
+def test_sets_by_value_and_samples(spark, monkeypatch):
+    gold, model, other = (spark.sql(f"SELECT * FROM VALUES {v} AS t(a, b)") for v in ("(1, 'x'), (1, 'x'), (2, NULL)", "('x', 1), (NULL, 2), (NULL, 2)", "(1, 'x'), (3, NULL), (3, NULL)"))
+    kept = []
+    assert equal_by_value(by_position(gold), by_position(model), lambda a, b: not kept.extend((a, b)), distinct=True)
+    assert not any("Aggregate" in df._jdf.queryExecution().optimizedPlan().toString() for df in kept)
+    assert ExecutionAccuracy("ignore", "set", "by_value").agrees(gold, model)
+    monkeypatch.setattr(type(gold), "distinct", lambda df: pytest.fail("a side is made distinct"))
+    assert [[tuple(r) for r in side] for side in BIRD.samples(gold, other)] == [[("n2", None)], [("n3", None)]]
+
+
 def test_numbers_are_exact(spark):
     one = lambda x: spark.sql(f"SELECT {x} AS a")
     same = [("1", "1.0D"), ("CAST(2.50 AS DECIMAL(10, 2))", "2.5D"), ("CAST(2.50 AS DECIMAL(10, 2))", "CAST(2.5 AS DECIMAL(38, 18))"), ("9007199254740993L", "CAST(9007199254740993 AS DECIMAL(38, 0))"), ("0.0D", "-0.0D"), ("double('NaN')", "double('NaN')"), ("1e300D", "1e300D"), ("100", "CAST(100 AS DECIMAL(10, 1))")]
